@@ -39,7 +39,7 @@ def nodes(objects: DataFrame, rels: DataFrame) -> DataFrame:
         once = once.withColumn("hashes", F.from_json("hashes", "map<string,string>"))
     if "entropy" not in once.columns:
         once = once.withColumn("entropy", F.lit(None).cast("double"))
-    own = rels.groupBy("child").agg(F.min(F.struct("parent", "props")).alias("r")).select(F.col("child").alias("__child"), "r.parent", "r.props")
+    own = rels.groupBy("child").agg(F.max(F.struct("parent", "props")).alias("r")).select(F.col("child").alias("__child"), "r.parent", "r.props")
     return once.join(own, once["id"] == own["__child"], "left").drop("__child").select(*COLUMNS)
 
 
