@@ -295,6 +295,9 @@ def rtf(job: Job) -> Result:
     text, wide, narrow = [], b"", b""
     for piece in [*out, ""]:
         if isinstance(piece, bytes) and len(piece) == 2:
+            if narrow:
+                text.append(_page(narrow, page))
+                narrow = b""
             wide += piece
             continue
         if wide:
