@@ -125,6 +125,8 @@ class _Page(HTMLParser):
             self.script = True
             self.scripts.append({k: a[k][:512] for k in ("src", "type", "integrity") if k in a})
         if tag in self.BLOCKS:
+            if self.open and self.open[-1][0] == "p":  # a block ends an open paragraph
+                self.handle_endtag("p")
             self.open.append((tag, []))
 
     def handle_endtag(self, tag: str) -> None:

@@ -51,7 +51,7 @@ def test_text():
 
 
 def test_html():
-    page = b"<html lang=de><head><meta charset=utf-8><script src=a.js></script></head><body><h1>T</h1><p>one <b>two</b><p>three<form action=/go><input type=password></form><a href='http://x.example/1'>l</a><img src='data:image/png;base64,iVBORw0KGgo='></body>"
+    page = b"<html lang=de><head><meta charset=utf-8><script src=a.js></script></head><body><h1>T</h1><p>one <b>two</b><p>three</p><form action=/go><input type=password></form><a href='http://x.example/1'>l</a><img src='data:image/png;base64,iVBORw0KGgo='></body>"
     r = run(Job(page, "HTML"))
     assert r.metadata["lang"] == "de" and r.metadata["href"] == ["http://x.example/1"] and r.metadata["input_types"] == ["password"] and r.metadata["scripts"] == [{"src": "a.js"}]
     kinds = {(c.force_type, tuple(c.symbols)) for c in r.children}
