@@ -100,6 +100,9 @@ def model(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
     lp[C.ODD, C.ODD] = lp[C.LOST, C.LOST] = FLOOR
     lp[:, C.LOST] = lp[C.LOST, C.LOST] = FLOOR
     lp[(C.ODD, C.LOST), C.ODD] = FLOOR
+    signs = [7 + C._CHARS.index(c) for c in C.SIGNS if not c.isspace()]
+    lp[C.SPACE, signs] = np.maximum(lp[C.SPACE, signs], -8)  # a sign may stand alone, however rare it is
+    lp[signs, C.SPACE] = np.maximum(lp[signs, C.SPACE], -4)
     # East Asian scripts are one symbol each but thousands of characters, and do not stand inside Latin words.
     east, words = (C.CJK, C.KANA), [k for k, c in enumerate(C._CHARS, 7) if c.isalpha()]
     lp[:, east] = np.maximum(lp[:, east], -9)

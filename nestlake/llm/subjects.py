@@ -33,7 +33,8 @@ ROUNDS = 1  # of counting the lexicon again over the whole corpus
 LEXICON_SIZE = 20_000
 #: Hand labels that the first lexicon is fitted on, smallest hash first; more do not change it noticeably.
 LABEL_BOUND = 200_000
-MIN_VOTE = 1.5
+#: A function votes for its best class if that has at least this probability by its scores alone.
+SURE, SURE_OF_DOCUMENT = 0.6, 0.4
 
 _HOST = re.compile(r"(?:https?://|@)([\w.-]+\w)")
 _NOT_TEXT = re.compile(r"https?://\S+|\[[^\]\n]{0,80}\]|\((?:ref\.|[^()\n]{0,60}[“”„«])[^()\n]{0,80}\)|^(?:Re|Fwd|AW|WG|TR|RV)\b.*$|^\w+: [0-9a-f]{12,};.*$|^\s*\w{2,8}\d?:(?= )|[±]?\d+ °C, ½ µm", re.M)
@@ -69,6 +70,7 @@ class Model:
     sources: dict[str, np.ndarray] = field(default_factory=dict)
     prior: np.ndarray | None = None
     confusion: list[np.ndarray] | None = None  # per function: class x (subjects + none + abstain)
+    log_share: np.ndarray | None = None  # of the classes, as the lexicon was counted
     _rows: dict[str, int] | None = None
     _matrix: np.ndarray | None = None
 
@@ -91,23 +93,26 @@ class Model:
         np.add.at(near, where, good)
         around = near[where] - good + 0.2 * (good.sum(0) - good)
         out = np.empty((len(flat), 4), np.int64)
-        out[:, 0], out[:, 1] = _vote(score, k, MIN_VOTE), _vote(around, k, MIN_VOTE)
+        out[:, 0], out[:, 1] = self._vote(score, SURE), self._vote(np.hstack([around, np.zeros((len(flat), 1))]), SURE)
         known = [self.hosts[h] for h in hosts(text) if h in self.hosts] if self.hosts else []
-        out[:, 2] = _vote(np.sum(known, 0)[None], k, 0.7)[0] if known else k + 1
-        out[:, 3] = _vote(self.sources[source][None], k, 0.3)[0] if source in self.sources else k + 1
+        out[:, 2] = self._vote(np.sum(known, 0)[None], SURE_OF_DOCUMENT)[0] if known else k + 1
+        out[:, 3] = self._vote(self.sources[source][None], SURE_OF_DOCUMENT)[0] if source in self.sources else k + 1
         return flat, out
 
+    def _vote(self, score: np.ndarray, least: float) -> np.ndarray:
+        """Best class of log odds against the classes' shares, or abstention (one above ``none``)."""
+        x = score + self.log_share
+        p = np.exp(x - x.max(1, keepdims=True))
+        best = p.argmax(1)
+        sure = p[np.arange(len(p)), best] >= least * p.sum(1)
+        return np.where(sure & (score[np.arange(len(p)), best] > 0), best, len(self.subjects) + 1)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         lp = np.log(self.prior)[None, :] + sum(np.log(c[:, votes[:, f]]).T for f, c in enumerate(self.confusion))
         p = np.exp(lp - lp.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def _vote(score: np.ndarray, k: int, least: float) -> np.ndarray:
-    best = score.argmax(1)
-    return np.where(score[np.arange(len(score)), best] >= least, best, k + 1)
-
-
 def learn(patterns: np.ndarray, n: np.ndarray, k: int, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
     """EM over vote patterns (rows of four votes, with counts): class shares and a confusion matrix for each function."""
     classes = k + 1
@@ -222,6 +227,7 @@ def _use(model: Model, counts: pd.DataFrame) -> None:
     every = counts[counts["kind"] == "all"]
     total = every[cols].to_numpy(float).sum(0) + 0.1
     total /= total.sum()
+    model.log_share = np.log(total)
     shares = {x: total for x in counts["lang"].unique()}
     shares |= {x: (n + 20 * total) / (n.sum() + 20) for x, n in zip(every["lang"], every[cols].to_numpy(float), strict=True)}
     model._rows = None
