@@ -2,8 +2,8 @@
 
 A hidden Markov model labels characters. One state is clean text, one stands for each encoding pair (true, wrong).
 The emission of a character in a pair's state is the probability of the character that the inverse transform puts in
-its place, given the one before it, under a character-bigram model of clean text; in a UTF-8 state the lead byte's
-character carries the decoded letter and its continuation characters are free. The bigram model is counted over all
+its place, given the one before it, under a character-bigram model of clean text; in a UTF-8 state all
+characters of a sequence share the probability of the letter they encode. The bigram model is counted over all
 texts, leaving out those with characters that clean text does not hold, so that damage does not teach itself. Viterbi
 paths run over the clean state and the pair states that explain a text best; each labelled span then gets its state's
 inverse transform, repeatedly, since text may have been damaged twice. Block encodings (UTF-16, Shift-JIS), which no
@@ -154,8 +154,12 @@ def _emissions(cp: np.ndarray, b: np.ndarray, true: str, lp: np.ndarray, again:
         em[1:] = lp[ids[:-1], ids[1:]]
     else:
         at = np.nonzero(~used)[0]
-        em[at[1:]] = lp[ids[at[:-1]], ids[at[1:]]]
-        em[(ids == C.ODD) & ~used & (y != cp)] = IMPOSSIBLE  # one odd letter for several bytes would come cheap
+        unit = np.zeros(len(at), np.float32)
+        unit[1:] = lp[ids[at[:-1]], ids[at[1:]]]
+        size = np.diff(np.append(at, len(cp)))
+        # one odd letter for several bytes would come cheap, and so would a path that only takes continuation bytes
+        unit = np.where((ids[at] == C.ODD) & (y[at] != cp[at]), FLOOR * size, unit) / size
+        em = np.repeat(unit, size) if len(at) and at[0] == 0 else em
     em[broken & (cp > 127)] = IMPOSSIBLE
     return em
 
