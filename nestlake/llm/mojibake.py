@@ -31,7 +31,7 @@ FLOOR = -14.0  # log probability of an odd character in clean text
 IMPOSSIBLE = -25.0
 SUSPICIOUS = -10.0  # a bigram less likely than that makes a text worth decoding
 ENTER, LEAVE = -6.5, -1.5  # log probability of turning from clean to a pair's state and back
-UNDECLARED = -3.0  # less for a pair whose wrong side is not the encoding that the record declares
+DECLARED, UNDECLARED = 4.0, -3.0  # more or less for a pair whose wrong side is, or is not, the encoding that the record declares
 KEEP_STATES = 6
 WORTH = 5.5  # a span must explain its characters better by that
 
@@ -103,6 +103,9 @@ def model(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
     signs = [7 + C._CHARS.index(c) for c in C.SIGNS if not c.isspace()]
     lp[C.SPACE, signs] = np.maximum(lp[C.SPACE, signs], -8)  # a sign may stand alone, however rare it is
     lp[signs, C.SPACE] = np.maximum(lp[signs, C.SPACE], -4)
+    latin = [k for k, c in enumerate(C._CHARS, 7) if c.isalpha() and c not in C.CYRILLIC]
+    cyrillic = [7 + C._CHARS.index(c) for c in C.CYRILLIC]
+    lp[np.ix_(latin, cyrillic)] = lp[np.ix_(cyrillic, latin)] = FLOOR  # no word mixes scripts
     # East Asian scripts are one symbol each but thousands of characters, and do not stand inside Latin words.
     east, words = (C.CJK, C.KANA), [k for k, c in enumerate(C._CHARS, 7) if c.isalpha()]
     lp[:, east] = np.maximum(lp[:, east], -9)
@@ -205,7 +208,7 @@ def _decode_group(group: list, texts: list[str], lp: np.ndarray, declared: list[
     score = np.stack(scores)
     for g, (k, own, where) in enumerate(group):
         said = declared[k]
-        prior = np.array([ENTER + (0 if said in (None, w) or (said in ("utf_8", "utf_16_le") and t.startswith("utf_8")) else UNDECLARED) for t, w in PAIRS])
+        prior = np.array([ENTER + (DECLARED if said == w else 0 if said is None or (said in ("utf_8", "utf_16_le") and t.startswith("utf_8")) else UNDECLARED) for t, w in PAIRS])
         total = score[:, g] + prior
         best = [x for x in np.argsort(-total, kind="stable")[:KEEP_STATES] if total[x] > 0]
         if not best:
@@ -218,9 +221,12 @@ def _decode_group(group: list, texts: list[str], lp: np.ndarray, declared: list[
             if path[a]:
                 true, wrong = PAIRS[best[path[a] - 1]]
                 gain = float((em[path[a], a:b] - em[0, a:b]).sum())
-                if gain > WORTH and (own[a:b] > 127).any():
+                bonus = DECLARED if said == wrong else 0.0
+                if gain + bonus > WORTH and (own[a:b] > 127).any():
                     span = _whole_words(texts[k], max(int(where[a]) - 1, 0), min(int(where[b - 1]), len(texts[k])), out[k][-1][1] if out[k] else 0)
-                    out[k].append((*span, true, wrong, gain))
+                    # odd characters in the result speak against a state, unless it explains the rest by far
+                    if gain > 4 * WORTH or not C.oddity(_invert_span(texts[k][span[0]:span[1]], true, wrong)):
+                        out[k].append((*span, true, wrong, gain))
 
 
 def _whole_words(text: str, a: int, b: int, least: int) -> tuple[int, int]:
@@ -271,7 +277,7 @@ def block_states(line: str, lp: np.ndarray) -> str | None:
             tries += [raw.decode(c, "replace") for c in ("utf_16_le", "utf_16_be")]
     if high < 0.3:
         return _best(line, tries, lp)
-    if ((cp & 0xFF) == 0).mean() > 0.3:
+    if ((cp & 0xFF) <= 4).mean() > 0.3:  # Latin, Central European and Cyrillic letters with their bytes swapped
         tries.append("".join(map(chr, (cp >> 8) | ((cp & 0xFF) << 8))))
     if (((cp >= 0x3000) & (cp < 0xA000)) | ((cp >= 0xFF61) & (cp <= 0xFF9F))).mean() > 0.3:
         for wrong, trues in (("cp932", ("utf_8",)), ("gbk", ("utf_8", "cp1252", "cp1251", "cp1250")), ("utf_16_le", ("utf_8", "cp1252"))):
@@ -321,7 +327,7 @@ def restore_all(texts: list[str | None], lp: np.ndarray, declared: list[str | No
         live = [k for k in live if k in changed and not now[k].isascii()]
         if not live:
             break
-    return [(bool(h) or (t is not None and "\ufffd" in t), n, ",".join(dict.fromkeys(h))) for t, n, h in zip(texts, now, how, strict=True)]
+    return [(n != t or (t is not None and "\ufffd" in t), n, ",".join(dict.fromkeys(h)) if n != t else "") for t, n, h in zip(texts, now, how, strict=True)]
 
 
 def restore(text: str | None, lp: np.ndarray, declared: str | None = None) -> tuple[bool, str | None, str]:
