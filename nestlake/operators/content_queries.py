@@ -74,7 +74,7 @@ def _submit(spark: SparkSession, d: str, pack) -> DataFrame:
     def made(i: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([pack(int(a), b) for a, b in zip(i, t, strict=True)])
 
-    return _docs(spark, d).select(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("work_id"), F.coalesce("org", F.lit("ctx")).alias("org"), F.lit("2024-01-01").cast("timestamp").alias("t"),
+    return _docs(spark, d).select(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("work_id"), F.coalesce("org", F.lit("default")).alias("org"), F.lit("2024-01-01").cast("timestamp").alias("t"),
                                   made("doc_id", "text").alias("content"), F.lit("{}").alias("props"))
 
 

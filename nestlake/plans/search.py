@@ -46,6 +46,11 @@ class Store:
     def count(self, text: str) -> DataFrame:
         return self.matching(text).agg(F.count(F.lit(1)).alias("objects"), F.count_distinct("work_id").alias("works"))
 
+    def explain(self, text: str) -> str:
+        """The plan that a query becomes, for people who wonder what it costs."""
+        df = self.matching(text)
+        return df._jdf.queryExecution().toString()
+
     def selectors(self, q: A.Query, locals_: DataFrame | None = None) -> dict[str, DataFrame]:
         """(local, value) of each selector of a query, over the local works only."""
         base = self.nodes if locals_ is None else self.nodes.join(locals_.select(F.col("local").alias("work_id")).distinct(), "work_id", "left_semi")

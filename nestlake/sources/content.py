@@ -88,7 +88,7 @@ def hashes(content: str) -> Column:
     return F.create_map(F.lit("md5"), F.md5(c), F.lit("sha1"), F.sha1(c), F.lit("sha256"), F.sha2(c, 256), F.lit("sha512"), F.sha2(c, 512))
 
 
-def read_files(spark: SparkSession, path: str, org: str = "ctx") -> DataFrame:
+def read_files(spark: SparkSession, path: str, org: str = "default") -> DataFrame:
     """Submissions from files: (work_id, org, t, content, props)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
