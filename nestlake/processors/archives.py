@@ -230,9 +230,38 @@ def unarj(job: Job) -> Result:
     return Result(meta, out.symbols, out.children)
 
 
+def _dstring(raw: bytes) -> str:
+    """UDF text: the last byte is its length, the first the width of its characters."""
+    n = min(raw[-1], len(raw) - 1)
+    return raw[1:n].decode("utf-16-be" if raw[0] == 16 else "latin-1", "replace") if n else ""
+
+
+def udf_volumes(c: bytes) -> list[dict]:
+    """Primary volume descriptors of the sequence that the anchor in sector 256 points to."""
+    anchor, out = c[256 * 2048:257 * 2048], []
+    if len(anchor) < 24 or struct.unpack("<H", anchor[:2])[0] != 2:
+        return out
+    size, first = struct.unpack("<II", anchor[16:24])
+    for k in range(min(size // 2048, 64)):
+        d = c[(first + k) * 2048:(first + k + 1) * 2048]
+        if len(d) < 2048 or (tag := struct.unpack("<H", d[:2])[0]) == 8:
+            break
+        if tag != 1:
+            continue
+        zone, year, month, day, hour, minute, second, centi = struct.unpack("<HhBBBBBB", d[376:386])
+        offset = zone & 0xFFF
+        offset = offset - 0x1000 if offset & 0x800 else offset
+        stamp = f"{year:04d}-{month:02d}-{day:02d} {hour:02d}:{minute:02d}:{second:02d}.{centi:02d}"
+        if zone >> 12 == 1 and -1440 <= offset <= 1440:
+            stamp += f" {'-' if offset < 0 else '+'}{abs(offset) // 60:02d}:{abs(offset) % 60:02d}:00"
+        out.append({"pv_identifier": _dstring(d[24:56]), "pv_seq": struct.unpack("<H", d[56:58])[0], "set_identifier": _dstring(d[72:200]),
+                    "app_identifier": d[345:368].rstrip(b"\0").decode("latin-1"), "datetime": stamp if 1 <= month <= 12 else "INVALID"})
+    return out
+
+
 @processor("CDFS", "ISO", "Iso")
 def iso9660(job: Job) -> Result:
-    """ISO 9660 with Joliet names; UDF volumes are recognised by their descriptors only."""
+    """ISO 9660 with Joliet names; of UDF volumes the primary descriptors."""
     c, descriptors, roots, symbols = job.content, [], [], []
     for sector in range(16, 64):
         d = c[sector * 2048:(sector + 1) * 2048]
@@ -281,7 +310,8 @@ def iso9660(job: Job) -> Result:
                 else:
                     body = c[where * 2048:where * 2048 + length]
                     out.add(body if len(body) == length else None, {"name": path + name, "size": length}, symbols=[] if len(body) == length else ["CORRUPTED"])
-    return Result({"volume_descriptors": descriptors}, symbols + out.symbols, out.children)
+    meta = {"volume_descriptors": descriptors} | ({"udf_volumes": udf_volumes(c)} if "UDF" in symbols else {})
+    return Result(meta, symbols + out.symbols, out.children)
 
 
 @processor("7Z", "7z")

@@ -93,3 +93,8 @@ def read_files(spark: SparkSession, path: str, org: str = "default") -> DataFram
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return f.where("length > 0").select(F.sha2(F.col("path"), 256).alias("work_id"), F.lit(org).alias("org"), F.col("modificationTime").alias("t"), "content", F.to_json(F.struct(name.alias("name"))).alias("props"))
+
+
+def read_object(contents: DataFrame, object_id: str) -> DataFrame:
+    """Content of one object by its id, the SHA-256 of the content."""
+    return contents.where(F.sha2("content", 256) == object_id).select("content").limit(1)

@@ -117,6 +117,19 @@ def test_iso():
     assert detect(image) == "CDFS"
 
 
+def test_udf_descriptor():
+    text = lambda s, n: (b"\x08" + s.encode()).ljust(n - 1, b"\0") + bytes([len(s) + 1])
+    pvd = bytearray(2048)
+    pvd[:2], pvd[24:56], pvd[56:58], pvd[72:200] = struct.pack("<H", 1), text("VOL", 32), struct.pack("<H", 3), text("SET", 128)
+    pvd[376:388] = struct.pack("<HhBBBBBBBB", 0x1000 | (120 & 0xFFF), 2020, 7, 1, 12, 30, 15, 25, 0, 0)
+    image = bytearray(260 * 2048)
+    image[16 * 2048 + 1:16 * 2048 + 6] = b"NSR02"
+    image[256 * 2048:256 * 2048 + 2], image[256 * 2048 + 16:256 * 2048 + 24] = struct.pack("<H", 2), struct.pack("<II", 2048 * 2, 257)
+    image[257 * 2048:258 * 2048] = pvd
+    r = run(Job(bytes(image), "CDFS"))
+    assert r.symbols == ["UDF"] and r.metadata["udf_volumes"] == [{"pv_identifier": "VOL", "pv_seq": 3, "set_identifier": "SET", "app_identifier": "", "datetime": "2020-07-01 12:30:15.25 +02:00:00"}]
+
+
 def test_executables():
     elf = b"\x7fELF\x02\x01\x01" + b"\0" * 9 + struct.pack("<HHIQQQIHHHHHH", 2, 62, 1, 0x400000, 0, 0, 0, 64, 56, 0, 64, 0, 0)
     assert run(Job(elf, "ELF")).metadata["header"]["machine"] == 62 and run(Job(elf[:30], "ELF")).error
