@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 # Single-byte code pages that the damaged text may pass through.
@@ -101,10 +103,14 @@ def oddity(text: str) -> int:
     return int(np.isin(SYMBOL[points(text)], (ODD, LOST)).sum())
 
 
+#: First odd character of a text, if any: most texts are settled by this one scan.
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in np.nonzero(np.isin(SYMBOL, (ODD, LOST)))[0] if not 0xD800 <= c < 0xE000 and c > 127) + "]")
+
+
 def readable(text: str) -> str:
     """Quick repair for readers that only need the letters: paragraph by paragraph the one inverse with fewest odd
     characters, if the paragraph is full of them."""
-    if text.isascii() or oddity(text) * 200 < len(text):
+    if text.isascii() or not _ODD.search(text) or oddity(text) * 200 < len(text):
         return text
     out = []
     for part in text.split("\n\n"):

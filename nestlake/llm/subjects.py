@@ -40,24 +40,19 @@ _HOST = re.compile(r"(?:https?://|@)([\w.-]+\w)")
 _NOT_TEXT = re.compile(r"https?://\S+|\[[^\]\n]{0,80}\]|\((?:ref\.|[^()\n]{0,60}[“”„«])[^()\n]{0,80}\)|^(?:Re|Fwd|AW|WG|TR|RV)\b.*$|^\w+: [0-9a-f]{12,};.*$|^\s*\w{2,8}\d?:(?= )|[±]?\d+ °C, ½ µm", re.M)
 _SPLIT = re.compile(r"(?<=[.!?])[\"”“»]?\s+|\n\s*[•\[]|^\s*•")
 _PARAGRAPH = re.compile(r"\n\s*\n")
-_TWO_WORDS = re.compile(r"[^\W\d_]{3,}[\s\S]*?[^\W\d_]{3,}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Sentences of each paragraph, without headers, references and addresses."""
+def sentences(text: str) -> list[list[list[str]]]:
+    """Distinct words of the sentences of each paragraph, without headers, references and addresses."""
     out = []
-    for par in _PARAGRAPH.split(_NOT_TEXT.sub(" ", charset.readable(text))):
-        own = [s for s in _SPLIT.split(par) if len(s) > 5 and _TWO_WORDS.search(s)]
+    for par in _PARAGRAPH.split(_NOT_TEXT.sub(" ", charset.readable(text)).lower()):
+        own = [list(dict.fromkeys(w)) for s in _SPLIT.split(par) if len(w := _WORD.findall(s)) >= 2]
         if own:
             out.append(own)
     return out
 
 
-def words(sentence: str) -> list[str]:
-    return sorted(set(_WORD.findall(sentence.lower())))
-
-
 def hosts(text: str) -> list[str]:
     return sorted({h.lower() for h in _HOST.findall(text)})
 
@@ -78,7 +73,7 @@ class Model:
         """Words and votes (lexicon, section, address, source) of each sentence; len(subjects): none, one more: abstain."""
         k = len(self.subjects)
         pars = sentences(text)
-        flat = [words(s) for par in pars for s in par]
+        flat = [ws for par in pars for ws in par]
         if not flat:
             return [], np.zeros((0, 4), np.int64)
         if self._rows is None:
@@ -163,7 +158,7 @@ def _labelled_counts(k: int):
             out = []
             for text, source, lang, of in zip(b["text"], b["source"], b["lang"], b["of"], strict=True):
                 par = sentences(text)
-                have = {("w", w) for p in par for s in p for w in words(s)} | {("h", h) for h in hosts(text)} | ({("s", source)} if source else set())
+                have = {("w", w) for p in par for ws in p for w in ws} | {("h", h) for h in hosts(text)} | ({("s", source)} if source else set())
                 have.add(("all", ""))
                 out += [(kind, term, named(lang) or "", int(s), 1.0 / len(of)) for kind, term in have for s in of]
             yield pd.DataFrame(out, columns=_COLUMNS)
@@ -176,22 +171,32 @@ def _model_counts(model: Model):
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held: dict[tuple, np.ndarray] = {}
+            number: dict[tuple, int] = {}
+            keys, at, posts, n = [], [], [], 0
             for text, source, lang in zip(b["text"], b["source"], b["lang"], strict=True):
                 flat, votes = model.votes(text, source)
                 if not flat:
                     continue
-                post = model.posterior(votes)
                 lang = named(lang) or ""
-                for ws, p in zip(flat, post, strict=True):
+                for j, ws in enumerate(flat, n):
                     for w in ws:
-                        held[("w", w, lang)] = held.get(("w", w, lang), 0) + p
-                rest = [("h", t) for t in hosts(text)] + ([("s", source)] if source else [])
-                for kind, t in rest:
-                    held[(kind, t, lang)] = held.get((kind, t, lang), 0) + post.mean(0)
-                held[("all", "", lang)] = held.get(("all", "", lang), 0) + sum(len(ws) * p for ws, p in zip(flat, post, strict=True))
-            rows = [(*key, c, float(v)) for key, p in held.items() for c, v in enumerate(p) if v > 0.01]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+                        keys.append(number.setdefault(("w", w, lang), len(number)))
+                    at += [j] * len(ws)
+                post = model.posterior(votes)
+                size = np.array([len(ws) for ws in flat])
+                posts += [post, post.mean(0)[None], (size @ post)[None]]  # of sentences, document, and all its words
+                n += len(flat)
+                rest = [("h", t, lang) for t in hosts(text)] + ([("s", source, lang)] if source else [])
+                keys += [number.setdefault(key, len(number)) for key in rest] + [number.setdefault(("all", "", lang), len(number))]
+                at += [n] * len(rest) + [n + 1]
+                n += 2
+            if not number:
+                continue
+            sums = np.zeros((len(number), len(model.subjects) + 1))
+            np.add.at(sums, np.array(keys), np.concatenate(posts)[np.array(at)])
+            row, c = np.nonzero(sums > 0.01)
+            kind, term, lang = (np.array(x, object) for x in zip(*number, strict=True))
+            yield pd.DataFrame({"kind": kind[row], "term": term[row], "lang": lang[row], "c": c, "n": sums[row, c]})
 
     return count
 
@@ -237,13 +242,15 @@ def _use(model: Model, counts: pd.DataFrame) -> None:
 def train(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> Model:
     """docs(doc_id, text, source, lang), labels(doc_id, subject); the language label may be wrong or missing."""
     k = len(subjects)
+    model = Model(subjects)
+    if not subjects:
+        return model
     number = F.create_map(*[F.lit(x) for j, s in enumerate(subjects) for x in (s, j)])
     of = labels.where(F.col("subject").isin(subjects)).orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(LABEL_BOUND)
     of = of.groupBy("doc_id").agg(F.collect_set(number[F.col("subject")]).alias("of"))
     docs = docs.where("text IS NOT NULL").select("doc_id", "text", "source", "lang")
-    model = Model(subjects)
     _use(model, _gather(docs.join(of, "doc_id").mapInPandas(_labelled_counts(k), _COUNTED), k))
-    _fit(model, docs)
+    model.prior, model.confusion = learn(np.zeros((0, 4), np.int64), np.zeros(0), k, rounds=0)  # the starting point of the accuracies
     for _ in range(ROUNDS):
         _use(model, _gather(docs.mapInPandas(_model_counts(model), _COUNTED), k))
         _fit(model, docs)
@@ -274,4 +281,7 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
             out = [(i, *row) for i, t, s in zip(b["doc_id"], b["text"], b["source"], strict=True) for row in assign(t, s, model)]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
-    return docs.where("text IS NOT NULL").select("doc_id", "text", "source").mapInPandas(run, "doc_id long, subject string, share double")
+    schema = "doc_id long, subject string, share double"
+    if not model.subjects:
+        return docs.sparkSession.createDataFrame([], schema)
+    return docs.where("text IS NOT NULL").select("doc_id", "text", "source").mapInPandas(run, schema)
