@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import itertools
 import operator
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -358,11 +357,3 @@ def _same_type(op: str, a: Column, b: Column) -> Column:
     if op == "==":
         return F.when(J.is_null(a) & J.is_null(b), True).otherwise(out)
     return F.when(J.is_null(a) != J.is_null(b), True).otherwise(out) if op == "!=" else out
-
-
-def invalid_regex(text: str) -> bool:
-    try:
-        re.compile(text)
-        return False
-    except re.error:
-        return True

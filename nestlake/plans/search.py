@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +77,3 @@ class Store:
 
 def _limited(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit or DEFAULT_LIMIT)
-
-
-def with_closure(nodes: DataFrame, closure: Callable[[], DataFrame], **kw) -> Store:
-    """A store over nodes whose ancestor pairs are already at hand."""
-    s = Store(nodes, **kw)
-    s._closure = closure()
-    return s
