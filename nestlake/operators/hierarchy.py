@@ -27,7 +27,7 @@ from nestlake.runtime import cut
 
 #: A frontier of at most this many rows makes the next round run several levels in one job.
 NARROW_ROWS = 200_000
-NARROW_LEVELS = 8
+NARROW_LEVELS = 5
 #: The first levels hold most nodes of a forest and are taken one by one.
 WIDE_LEVELS = 5
 
