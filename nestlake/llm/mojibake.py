@@ -4,12 +4,14 @@ A hidden Markov model labels characters. One state is clean text, one stands for
 The emission of a character in a pair's state is the probability of the character that the inverse transform puts in
 its place, given the one before it, under a character-bigram model of clean text; in a UTF-8 state all
 characters of a sequence share the probability of the letter they encode. The bigram model is counted over all
-texts, leaving out those with characters that clean text does not hold, so that damage does not teach itself. Viterbi
+texts, leaving out those with characters or turns of case that clean text does not hold, so that damage does not teach
+itself. Viterbi
 paths run over the clean state and the pair states that explain a text best; each labelled span then gets its state's
 inverse transform, repeatedly, since text may have been damaged twice. Block encodings (UTF-16, Shift-JIS), which no
 single character can be inverted under, are states over whole lines.
 
-A vectorised first pass drops the texts whose every bigram is likely when clean; only the rest pays for the decoding.
+A vectorised first pass bounds what any state can gain on any stretch of a text (equal words are evaluated once a
+batch) and drops the texts that the decoder would leave as they are, whatever they declare; only the rest is decoded.
 
 Defined results: null, empty and plain ASCII texts are clean; a text with U+FFFD is damaged but not restorable, the
 other spans of it are still restored; characters beyond the basic plane count as signs; repeated rows repeat results.
@@ -29,7 +31,6 @@ from nestlake.llm import charset as C
 
 FLOOR = -14.0  # log probability of an odd character in clean text
 IMPOSSIBLE = -25.0
-SUSPICIOUS = -10.0  # a bigram less likely than that makes a text worth decoding
 ENTER, LEAVE = -6.5, -1.5  # log probability of turning from clean to a pair's state and back
 DECLARED, UNDECLARED = 4.0, -3.0  # more or less for a pair whose wrong side is, or is not, the encoding that the record declares
 KEEP_STATES = 6
@@ -43,15 +44,21 @@ _NUL = "\x00\uf2b3"
 _INTERLEAVED = re.compile(f"(?:[^{_NUL}][{_NUL}]){{2,}}")
 
 
+_FIRST_HIGH = 7 + len(C.ASCII)
+_LOWER, _UPPER = (np.array([False] * 7 + [f(c) for c in C._CHARS]) for f in (str.islower, str.isupper))
+
+
 # ---- model of clean text
 
 def count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sparse bigram counts over the texts of a partition that hold no odd character."""
+    """Sparse bigram counts over the texts of a partition that hold no odd character and, beyond ASCII, no capital
+    after a small letter (Cyrillic read under another Cyrillic encoding, UTF-8 read as a Latin one)."""
     total = np.zeros(C.N_SYMBOLS**2, np.int64)
     for b in batches:
         for chunk in _chunks(b["text"]):
             ids, ends = _concat(chunk)
             odd = np.isin(ids, (C.ODD, C.LOST))
+            odd[1:] |= _LOWER[ids[:-1]] & _UPPER[ids[1:]] & ((ids[:-1] >= _FIRST_HIGH) | (ids[1:] >= _FIRST_HIGH))
             bad = np.logical_or.reduceat(odd, np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0, bool)
             keep = np.repeat(~bad, np.diff(np.concatenate([[0], ends])))
             ids = ids[keep]
@@ -116,23 +123,89 @@ def model(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 # ---- first pass
 
-def suspicious(texts: pd.Series, lp: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(texts), bool)
-    full = [k for k, t in enumerate(texts) if t and not t.isascii()]
-    for a in range(0, len(full), 2000):
-        part = full[a:a + 2000]
-        ids, ends = _concat([texts.iloc[k] for k in part])
-        low = np.zeros(len(ids), bool)
-        low[1:] = (lp[ids[:-1], ids[1:]] < SUSPICIOUS) & ((ids[1:] >= _FIRST_HIGH) | (ids[:-1] >= _FIRST_HIGH))
-        low |= np.isin(ids, (C.ODD, C.LOST))
-        out[part] = np.logical_or.reduceat(low, np.concatenate([[0], ends[:-1]]))
+def stretches(texts: list[str], lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x PAIRS, runs): the most that any one stretch of a text is better explained by the pair's state than by the clean
+    one. Gains depend on a run of characters beyond ASCII and their neighbours only, so equal runs are computed once."""
+    out, count = np.zeros((len(texts), len(PAIRS))), np.zeros(len(texts), np.int64)
+    at: dict[str, int] = {}
+    group: list[tuple[int, list[int]]] = []
+    size = 0
     for k, t in enumerate(texts):
-        if t and t.isascii() and "\x00" in t:
-            out[k] = True
+        if t and not t.isascii():
+            own = []
+            for m in _RUN.finditer(f" {t} "):
+                run = m[0] + m[1]
+                if run not in at:
+                    at[run] = len(at)
+                    size += len(run)
+                own.append(at[run])
+            count[k] = len(own)
+            group.append((k, own))
+        if size > TOGETHER:
+            _best_stretches(group, list(at), lp, out)
+            group, at, size = [], {}, 0
+    if group:
+        _best_stretches(group, list(at), lp, out)
+    return out, count
+
+
+#: A run of characters beyond ASCII with the ASCII character on either side, which the next run may share.
+_RUN = re.compile(r"[\x00-\x7f][^\x00-\x7f]+(?=([\x00-\x7f]))")
+
+
+def _best_stretches(group: list, runs: list[str], lp: np.ndarray, out: np.ndarray) -> None:
+    cp = np.concatenate([C.points(r) for r in runs])
+    starts = np.cumsum([0, *[len(r) for r in runs]])[:-1]
+    last = np.append(starts[1:], len(cp)) - 1
+    ids = C.SYMBOL[cp]
+    clean = np.zeros(len(cp), np.float32)
+    clean[1:] = lp[ids[:-1], ids[1:]]
+    bytes_of = {w: C.TO_BYTE[w][cp] for w in {w for _, w in PAIRS}}
+    of = np.concatenate([own for _, own in group])
+    heads = np.cumsum([0, *[len(own) for _, own in group]])[:-1]
+    rows = [k for k, _ in group]
+    inner_wall, wall = np.zeros(len(cp)), np.zeros(len(of))
+    inner_wall[starts], wall[heads] = _WALL, _WALL
+    inner_wall, wall = np.cumsum(inner_wall), np.cumsum(wall)
+    for x, (true, wrong) in enumerate(PAIRS):
+        gain = (_emissions(cp, bytes_of[wrong], true, lp, C.TO_BYTE[wrong]) - clean).astype(np.float64)
+        gain[starts] = 0  # an ASCII character after another: the same in all states
+        s = np.cumsum(gain)
+        base = s[starts]
+        whole = s[last] - base
+        prefix = np.maximum.reduceat(s, starts) - base
+        suffix = s[last] - np.minimum.reduceat(s, starts)
+        low = s - inner_wall  # falls so far at each run that no stretch crosses its start
+        inside = np.maximum.reduceat(low - np.minimum.accumulate(low), starts)
+        if not inside.any():
+            continue
+        c = np.cumsum(whole[of]) - wall
+        end = c + np.maximum.accumulate(suffix[of] - c)  # the best stretch that ends where the run does
+        best = inside[of]
+        if len(of) > 1:
+            across = end[:-1] + prefix[of[1:]]
+            across[heads[1:] - 1] = 0
+            best[1:] = np.maximum(best[1:], across)
+        out[rows, x] = np.maximum.reduceat(best, heads)
+
+
+_WALL = 1e7
+
+
+def suspicious(texts: pd.Series, lp: np.ndarray, bonus: float = DECLARED) -> np.ndarray:
+    """The texts that the decoder could find damaged, whatever encoding is declared: no other can have a span that
+    pays for entering and leaving its state and is worth it, nor a line that a block encoding explains."""
+    out = np.zeros(len(texts), bool)
+    full = [k for k, t in enumerate(texts) if t and (not t.isascii() or "\x00" in t)]
+    best = stretches([texts.iloc[k] for k in full], lp)[0].max(1) if full else []
+    for k, gain in zip(full, best, strict=True):
+        t = texts.iloc[k]
+        out[k] = gain + bonus > max(-ENTER - LEAVE, WORTH) - _SLACK or "\ufffd" in t or any(
+            block_states(x, lp) is not None for x in t.split("\n") if not x.isascii() or "\x00" in x)
     return out
 
 
-_FIRST_HIGH = 7 + len(C.ASCII)
+_SLACK = 0.01  # rounding
 
 
 # ---- decoding
@@ -168,7 +241,7 @@ def _emissions(cp: np.ndarray, b: np.ndarray, true: str, lp: np.ndarray, again:
 
 
 #: Characters of texts that are decoded together, so that the work of a state is one pass of numpy over all of them.
-TOGETHER = 30_000
+TOGETHER = 300_000
 
 
 def decode_all(texts: list[str], lp: np.ndarray, declared: list[str | None]) -> list[list[tuple[int, int, str, str, float]]]:
@@ -297,6 +370,8 @@ _MIXED = re.compile("[A-Za-z\u00c0-\u04ff][\u3040-\u9fff]|[\u3040-\u9fff][A-Za-z
 
 
 def _best(line: str, tries: list[str | None], lp: np.ndarray) -> str | None:
+    if not any(tries):
+        return None
     best, score = None, _likely(line, lp)
     for y in tries:
         # some odd characters are allowed: those that the wrong decoding had already lost

@@ -75,3 +75,23 @@ def test_utf8_units_against_decoder():
         b = C.TO_BYTE["latin_1"][C.points(s.encode().decode("latin-1"))]
         y, used, broken = C.utf8_units(b)
         assert "".join(chr(v) for v, u in zip(y, used, strict=True) if not u) == s and not broken.any()
+
+
+def _taught(texts):
+    r = pd.concat(M.count_bigrams(iter([pd.DataFrame({"text": texts})])))
+    return M.model(r.pair.to_numpy(), r.n.to_numpy())
+
+
+def test_frequent_damage_is_still_found():
+    """Damage without odd characters neither teaches the model nor passes the first pass as clean."""
+    bad = "Договор аренды".encode("koi8_r").decode("cp1251")
+    taught = _taught(SENTENCES * 40 + ["Договор аренды подписан.", "Новая редакция"] * 40 + [bad] * 60)
+    assert M.suspicious(pd.Series([bad]), taught)[0]
+    assert M.restore(bad, taught)[:2] == (True, "Договор аренды")
+
+
+def test_first_pass_keeps_what_the_decoder_finds(lp):
+    texts = ["ZdjÄ™cie 152", "Lâ€™enzyme 77", "Kšnigsberger Akte 30", *SENTENCES]
+    for said in (None, "cp1252", "mac_roman"):
+        found = [hit for hit, _, _ in M.restore_all(texts, lp, [said] * len(texts))]
+        assert all(s or not f for s, f in zip(M.suspicious(pd.Series(texts), lp), found, strict=True))
