@@ -5,9 +5,9 @@ The emission of a character in a pair's state is the probability of the characte
 its place, given the one before it, under a character-bigram model of clean text; in a UTF-8 state all
 characters of a sequence share the probability of the letter they encode. The bigram model is counted over all
 texts, leaving out those with characters or turns of case that clean text does not hold, so that damage does not teach
-itself. Viterbi
-paths run over the clean state and the pair states that explain a text best; each labelled span then gets its state's
-inverse transform, repeatedly, since text may have been damaged twice. Block encodings (UTF-16, Shift-JIS), which no
+itself. Viterbi paths run over the clean state and every pair state that some stretch of the text pays for entering;
+each labelled span then gets its state's inverse transform, until nothing changes, since text may have been damaged
+more than once. Block encodings (UTF-16, Shift-JIS), which no
 single character can be inverted under, are states over whole lines.
 
 A vectorised first pass bounds what any state can gain on any stretch of a text (equal words are evaluated once a
@@ -33,7 +33,7 @@ FLOOR = -14.0  # log probability of an odd character in clean text
 IMPOSSIBLE = -25.0
 ENTER, LEAVE = -6.5, -1.5  # log probability of turning from clean to a pair's state and back
 DECLARED, UNDECLARED = 4.0, -3.0  # more or less for a pair whose wrong side is, or is not, the encoding that the record declares
-KEEP_STATES = 6
+PLACES = 8  # runs beyond ASCII that the whole of DECLARED holds for; with more, its odds are shared among them
 WORTH = 5.5  # a span must explain its characters better by that
 
 PAIRS = [(t, w) for t in ("utf_8", "utf_8_twice") for w in C.PAGES if w != "iso8859_5"] + [
@@ -240,66 +240,61 @@ def _emissions(cp: np.ndarray, b: np.ndarray, true: str, lp: np.ndarray, again:
     return em
 
 
-#: Characters of texts that are decoded together, so that the work of a state is one pass of numpy over all of them.
+#: Characters of runs that are evaluated together, so that the work of a state is one pass of numpy over all of them.
 TOGETHER = 300_000
 
 
 def decode_all(texts: list[str], lp: np.ndarray, declared: list[str | None]) -> list[list[tuple[int, int, str, str, float]]]:
-    """For each text the spans (start, end, true, wrong, gain) that a pair's state explains better than the clean one."""
+    """For each text the spans (start, end, true, wrong, gain) that a pair's state explains better than the clean one.
+    Every pair that has a stretch worth entering takes part, however long and clean the rest of the text is."""
     out: list = [[] for _ in texts]
-    group, size = [], 0
-    for k, t in enumerate(texts):
-        cp = C.points(" " + t + " ")
-        near = cp > 127
-        near[1:] |= cp[:-1] > 127
-        near[:-1] |= cp[1:] > 127
-        where = np.nonzero(near)[0]
-        if len(where):
-            group.append((k, cp[where], where))
-            size += len(where)
-        if size > TOGETHER:
-            _decode_group(group, texts, lp, declared, out)
-            group, size = [], 0
-    if group:
-        _decode_group(group, texts, lp, declared, out)
+    for k, (gain, runs) in enumerate(zip(*stretches(texts, lp), strict=True)):
+        said = declared[k]
+        # The declaration is one piece of evidence for a text, not one for each of its places.
+        more = max(0.0, DECLARED - float(np.log(max(1.0, runs / PLACES))))
+        bonus = np.array([more if said == w else 0.0 for _, w in PAIRS])
+        enter = np.array([ENTER + (more if said == w else 0 if said is None or (said in ("utf_8", "utf_16_le") and t.startswith("utf_8")) else UNDECLARED) for t, w in PAIRS])
+        may = np.nonzero((gain + enter + LEAVE > -_SLACK) & (gain + bonus > WORTH - _SLACK))[0]
+        if len(may):
+            _decode(texts[k], lp, may, enter[may], bonus[may], out[k])
     return out
 
 
-def _decode_group(group: list, texts: list[str], lp: np.ndarray, declared: list[str | None], out: list) -> None:
-    cp = np.concatenate([g[1] for g in group])
-    starts = np.cumsum([0, *[len(g[1]) for g in group]])
-    ids = C.SYMBOL[cp]
-    clean = np.zeros(len(cp), np.float32)
+def _decode(text: str, lp: np.ndarray, may: np.ndarray, enter: np.ndarray, bonus: np.ndarray, out: list) -> None:
+    cp = C.points(" " + text + " ")
+    near = cp > 127
+    near[1:] |= cp[:-1] > 127
+    near[:-1] |= cp[1:] > 127
+    where = np.nonzero(near)[0]
+    own = cp[where]
+    ids = C.SYMBOL[own]
+    clean = np.zeros(len(own), np.float32)
     clean[1:] = lp[ids[:-1], ids[1:]]
-    bytes_of = {w: C.TO_BYTE[w][cp] for w in {w for _, w in PAIRS}}
-    ems, scores = [], []
-    for true, wrong in PAIRS:
-        em = _emissions(cp, bytes_of[wrong], true, lp, C.TO_BYTE[wrong])
-        gain = np.maximum(em - clean, -6)
-        ems.append(em)
-        scores.append(np.add.reduceat(np.where(gain > 0, gain, gain * 0.1), starts[:-1]))
-    score = np.stack(scores)
-    for g, (k, own, where) in enumerate(group):
-        said = declared[k]
-        prior = np.array([ENTER + (DECLARED if said == w else 0 if said is None or (said in ("utf_8", "utf_16_le") and t.startswith("utf_8")) else UNDECLARED) for t, w in PAIRS])
-        total = score[:, g] + prior
-        best = [x for x in np.argsort(-total, kind="stable")[:KEEP_STATES] if total[x] > 0]
-        if not best:
-            continue
-        a0, b0 = starts[g], starts[g + 1]
-        em = np.stack([clean[a0:b0], *[ems[x][a0:b0] for x in best]])
-        path = _viterbi(em, prior[best])
-        edges = np.nonzero(np.diff(np.concatenate([[0], path, [0]])))[0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+    bytes_of = {w: C.TO_BYTE[w][own] for w in {PAIRS[x][1] for x in may}}
+    gains = np.stack([_emissions(own, bytes_of[PAIRS[x][1]], PAIRS[x][0], lp, C.TO_BYTE[PAIRS[x][1]]) - clean for x in may]).astype(np.float64)
+    gains[:, 0] = 0
+    # A position can be in a state only if the best stretch of that state through it pays; all others are clean.
+    s = np.cumsum(gains, 1)
+    before = np.concatenate([np.zeros((len(may), 1)), s[:, :-1]], 1)
+    through = np.maximum.accumulate(s[:, ::-1], 1)[:, ::-1] - np.minimum.accumulate(before, 1)
+    active = through + (enter + LEAVE)[:, None] > -_SLACK
+    edges = np.nonzero(np.diff(np.concatenate([[0], active.any(0).astype(np.int8), [0]])))[0]
+    for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+        keep = np.nonzero(active[:, lo:hi].any(1))[0]
+        path = _viterbi(np.concatenate([np.zeros((1, hi - lo)), gains[keep, lo:hi]]), enter[keep])
+        turns = np.nonzero(np.diff(np.concatenate([[0], path, [0]])))[0]
+        for a, b in zip(turns[:-1], turns[1:], strict=True):
             if path[a]:
-                true, wrong = PAIRS[best[path[a] - 1]]
-                gain = float((em[path[a], a:b] - em[0, a:b]).sum())
-                bonus = DECLARED if said == wrong else 0.0
-                if gain + bonus > WORTH and (own[a:b] > 127).any():
-                    span = _whole_words(texts[k], max(int(where[a]) - 1, 0), min(int(where[b - 1]), len(texts[k])), out[k][-1][1] if out[k] else 0)
-                    # odd characters in the result speak against a state, unless it explains the rest by far
-                    if gain > 4 * WORTH or not C.oddity(_invert_span(texts[k][span[0]:span[1]], true, wrong)):
-                        out[k].append((*span, true, wrong, gain))
+                x = keep[path[a] - 1]
+                true, wrong = PAIRS[may[x]]
+                a, b = a + lo, b + lo
+                gain = float(gains[x, a:b].sum())
+                if gain + bonus[x] > WORTH and (own[a:b] > 127).any():
+                    span = _whole_words(text, max(int(where[a]) - 1, 0), min(int(where[b - 1]), len(text)), out[-1][1] if out else 0)
+                    # what clean text does not hold, in the result, speaks against a state, unless it explains the rest by far
+                    result = _invert_span(text[span[0]:span[1]], true, wrong)
+                    if gain > 4 * WORTH or not _strange(result):
+                        out.append((*span, true, wrong, gain))
 
 
 def _whole_words(text: str, a: int, b: int, least: int) -> tuple[int, int]:
@@ -311,25 +306,31 @@ def _whole_words(text: str, a: int, b: int, least: int) -> tuple[int, int]:
     return a, max(a, b)
 
 
+def _strange(text: str) -> bool:
+    """Odd characters, East Asian ones inside words, or capitals after small letters."""
+    ids = C.SYMBOL[C.points(text)]
+    return bool(np.isin(ids, (C.ODD, C.LOST)).any() or (_LOWER[ids[:-1]] & _UPPER[ids[1:]] & (ids[1:] >= _FIRST_HIGH)).any() or _MIXED.search(text))
+
+
 def _viterbi(em: np.ndarray, enter: np.ndarray) -> np.ndarray:
-    """Most likely state (0: clean) of each position."""
+    """Most likely state (0: clean) of each position. Turning from one pair's state to another is leaving and entering,
+    so only staying and coming from the best state otherwise have to be compared."""
     k, n = em.shape
-    trans = np.full((k, k), -1e9, np.float32)
-    trans[0, 0] = 0
-    trans[0, 1:] = enter
-    trans[1:, 0] = LEAVE
-    trans[1:, 1:] = enter[None, :] + LEAVE
-    np.fill_diagonal(trans, 0)
-    score = em[:, 0] + np.concatenate([[0], enter])
-    back = np.zeros((n, k), np.int8)
+    cost = np.concatenate([[0], enter])
+    leave = np.concatenate([[0], np.full(k - 1, LEAVE)])
+    score = em[:, 0] + cost
+    came = np.zeros(n, np.int64)
+    turned = np.zeros((n, k), bool)
     for t in range(1, n):
-        m = score[:, None] + trans
-        back[t] = m.argmax(0)
-        score = m[back[t], np.arange(k)] + em[:, t]
+        free = score + leave
+        came[t] = j = free.argmax()
+        other = free[j] + cost
+        turned[t] = other > score
+        score = np.maximum(score, other) + em[:, t]
     path = np.zeros(n, np.int64)
-    path[-1] = int((score + np.concatenate([[0], np.full(k - 1, LEAVE)])).argmax())
+    path[-1] = int((score + leave).argmax())
     for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+        path[t - 1] = came[t] if turned[t, path[t]] else path[t]
     return path
 
 
@@ -384,7 +385,9 @@ def restore_all(texts: list[str | None], lp: np.ndarray, declared: list[str | No
     """(damaged, restored text, states) of each: restored equals the text where nothing was found."""
     now, how = list(texts), [[] for _ in texts]
     live = [k for k, t in enumerate(texts) if t and (not t.isascii() or "\x00" in t)]
-    for turn in range(3):
+    seen = {k: {now[k]} for k in live}
+    turn = 0
+    while live:  # ends: a text that comes back to what it was before is given up
         changed = set()
         if turn == 0:
             for k in live:
@@ -399,9 +402,10 @@ def restore_all(texts: list[str | None], lp: np.ndarray, declared: list[str | No
             if spans:
                 how[k] += [f"{true}>{wrong}" for _, _, true, wrong, _ in spans]
                 changed.add(k)
-        live = [k for k in live if k in changed and not now[k].isascii()]
-        if not live:
-            break
+        live = [k for k in live if k in changed and not now[k].isascii() and now[k] not in seen[k]]
+        for k in live:
+            seen[k].add(now[k])
+        turn += 1
     return [(n != t or (t is not None and "\ufffd" in t), n, ",".join(dict.fromkeys(h)) if n != t else "") for t, n, h in zip(texts, now, how, strict=True)]
 
 

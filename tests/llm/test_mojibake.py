@@ -95,3 +95,10 @@ def test_first_pass_keeps_what_the_decoder_finds(lp):
     for said in (None, "cp1252", "mac_roman"):
         found = [hit for hit, _, _ in M.restore_all(texts, lp, [said] * len(texts))]
         assert all(s or not f for s, f in zip(M.suspicious(pd.Series(texts), lp), found, strict=True))
+
+
+def test_damage_is_found_however_long_the_clean_rest_is(lp):
+    clean, good = SENTENCES[5], SENTENCES[0]
+    bad = good.encode("cp1252").decode("mac_roman")
+    before, after = "\n\n".join([clean] * 60), "\n\n".join([SENTENCES[1]] * 60)
+    assert M.restore(f"{before}\n\n{bad}\n\n{after}", lp)[:2] == (True, f"{before}\n\n{good}\n\n{after}")
