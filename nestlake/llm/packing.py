@@ -3,9 +3,9 @@
 Lengths above the capacity are cut into pieces of exactly the capacity, each a full container, and a rest. The global
 histogram of item lengths (at most capacity + 1 entries) goes to the driver, where dynamic programming places the
 bucket boundaries so that padding every item to its bucket's boundary wastes least. Token-budget batches form bucket by
-bucket from the longest: a container is filled with the longest items of the bucket that still fit, and what room is
-left when none does is topped up from the shorter buckets (``top_up=False`` leaves it, as plain buckets would; the
-README has the figures of both). Containers are made inside hash shards of some ``SHARD_ITEMS`` items, so work and
+bucket from the longest: a container is filled with the longest items of the bucket that still fit. When a bucket is
+done, what room its containers have left is topped up from the shorter buckets, least room first (``top_up=False``
+leaves it, as plain buckets would; the README has the figures of both). Containers are made inside hash shards of some ``SHARD_ITEMS`` items, so work and
 memory of a task stay bounded at any size and no order over all items is needed.
 
 Defined results: null texts are no items; an empty text is an item of 0 tokens; a capacity below 1 is an error;
@@ -14,7 +14,7 @@ no capacity gives no containers; equal items are told apart by doc_id and piece;
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -76,29 +76,36 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], k: int = BUCKETS)
 
 
 def fill(sizes: np.ndarray, bucket: np.ndarray, capacity: int, top_up: bool = True) -> np.ndarray:
-    """Container number of each item: longest first, each container takes the longest items that still fit."""
-    by_length: dict[int, list[int]] = {}
+    """Container number of each item. Bucket by bucket from the longest: first all containers of a bucket, each with the
+    longest of its items that still fit, then what room they have left, least room first, from the shorter buckets."""
+    by_length: dict[tuple[int, int], list[int]] = {}
     for k in np.lexsort((np.arange(len(sizes)), sizes))[::-1]:
-        by_length.setdefault(int(sizes[k]), []).append(int(k))
-    lengths = sorted(by_length)
+        by_length.setdefault((int(bucket[k]), int(sizes[k])), []).append(int(k))
+    keys = sorted(by_length)  # boundaries are upper bounds of lengths, so lengths are in order as well
     out, number = np.zeros(len(sizes), np.int64), 0
-    while lengths:
-        room, floor = capacity, None
-        while lengths:
-            p = bisect_right(lengths, room) - 1
-            if p < 0:
-                break
-            length = lengths[p]
-            item = by_length[length][-1]
-            floor = bucket[item] if floor is None else floor
-            if not top_up and bucket[item] != floor:
-                break
-            by_length[length].pop()
-            if not by_length[length]:
+
+    def take(room: int, least: int, below: int) -> int:
+        """Put the longest fitting items of the buckets from ``least`` to under ``below`` into the container; room left."""
+        while True:
+            p = min(bisect_right(lengths, room), bisect_left(keys, (below, -1))) - 1
+            if p < 0 or keys[p][0] < least:
+                return room
+            own = by_length[keys[p]]
+            out[own.pop()] = number_of
+            room -= keys[p][1]
+            if not own:
+                keys.pop(p)
                 lengths.pop(p)
-            out[item] = number
-            room -= length
-        number += 1
+
+    lengths = [length for _, length in keys]
+    while keys:
+        b, rooms = keys[-1][0], []
+        while keys and keys[-1][0] == b:
+            number_of = number
+            rooms.append((take(capacity, b, b + 1), number))
+            number += 1
+        for room, number_of in sorted(rooms) if top_up else ():
+            take(room, -1, b)
     return out
 
 

@@ -59,6 +59,19 @@ def test_fill_is_within_capacity():
     assert np.bincount(no, sizes).max() <= 10 and len(set(no)) == 3
 
 
+def test_boundaries_shape_the_containers():
+    """Batches form inside their buckets: other boundaries, other containers; top-up adds to them and moves nothing."""
+    sizes = np.array([13, 9, 9, 5, 2])
+    buckets = [np.searchsorted(bounds, sizes) for bounds in ([13], [5, 13], [2, 9, 13])]
+    made = {tuple(sorted(tuple(np.nonzero(no == c)[0]) for c in set(no))) for no in (packing.fill(sizes, b, 20) for b in buckets)}
+    assert len(made) > 1
+    for b in buckets:
+        plain, full = packing.fill(sizes, b, 20, False), packing.fill(sizes, b, 20)
+        longest = b == b.max()
+        assert (plain[longest] == full[longest]).all() and np.bincount(full, sizes).max() <= 20
+        assert all(len(set(b[plain == c])) == 1 for c in set(plain))
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "a" * 20_000)], "i int, text string")
     n = {r.i: r.n for r in df.select("i", count_tokens("text").alias("n")).collect()}
