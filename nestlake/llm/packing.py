@@ -2,7 +2,7 @@
 
 Lengths above the capacity are cut into pieces of exactly the capacity, each a full container, and a rest. The global
 histogram of item lengths (at most capacity + 1 entries) goes to the driver, where dynamic programming places the
-bucket boundaries so that padding every item to its bucket's boundary wastes least. Token-budget batches form bucket by
+bucket boundaries, over all lengths, so that padding every item to its bucket's boundary wastes least. Token-budget batches form bucket by
 bucket from the longest: a container is filled with the longest items of the bucket that still fit. When a bucket is
 done, what room its containers have left is topped up from the shorter buckets, least room first (``top_up=False``
 leaves it, as plain buckets would; the README has the figures of both). Containers are made inside hash shards of some ``SHARD_ITEMS`` items, so work and
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 SHARD_ITEMS = 20_000
 BUCKETS = 12
-#: Candidate boundaries of the dynamic programme; with more lengths than that, quantiles of them.
-CANDIDATES = 1500
 
 
 def pieces(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
@@ -47,22 +45,26 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], k: int = BUCKETS)
     if not len(x):
         return []
     cum_n, cum_s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * x)])
-    ends = np.arange(1, len(x) + 1)
-    if len(ends) > CANDIDATES:
-        ends = np.unique(np.searchsorted(cum_n, np.linspace(0, cum_n[-1], CANDIDATES + 1)[1:]).clip(1, len(x)))
-        ends = np.unique(np.append(ends, len(x)))
-    at = np.concatenate([[0], ends])
-    cn, cs, up = cum_n[at], cum_s[at], np.concatenate([[0], x[ends - 1]])
-    m = len(at)
+    up = np.concatenate([[0], x])
+    m = len(up)
     best = np.full(m, np.inf)
     best[0] = 0
     back = []
     for _ in range(min(k, m - 1)):
         now, cut = np.full(m, np.inf), np.zeros(m, np.int64)
-        for e in range(1, m):
-            cost = best[:e] + up[e] * (cn[e] - cn[:e]) - (cs[e] - cs[:e])
-            j = int(cost.argmin())
-            now[e], cut[e] = cost[j], j
+        # The best last cut never moves back as the end moves on, so the middle end's cut bounds those on either side.
+        spans = [(1, m - 1, 0, m - 2)]
+        while spans:
+            lo, hi, first, last = spans.pop()
+            e = (lo + hi) // 2
+            a, b = first, min(last, e - 1) + 1
+            cost = best[a:b] + up[e] * (cum_n[e] - cum_n[a:b]) - (cum_s[e] - cum_s[a:b])
+            j = a + int(cost.argmin())
+            now[e], cut[e] = cost[j - a], j
+            if lo < e:
+                spans.append((lo, e - 1, first, j))
+            if e < hi:
+                spans.append((e + 1, hi, j, last))
         now[0] = 0
         back.append((now, cut))
         best = now

@@ -24,6 +24,20 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], []) == [] and packing.boundaries([5], [3]) == [5]
 
 
+def test_boundaries_are_optimal_over_many_lengths():
+    """Long, rare lengths are candidates too, however many lengths there are."""
+    x = np.arange(1, 3001)
+    n = np.where(x <= 2900, 1000, 1)
+    n[-1] = 5000
+    total, sums = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * x)])
+    best = np.concatenate([[0], x * total[1:] - sums[1:]])  # padding with one bucket
+    for _ in range(2):
+        best = np.array([0, *[min(best[:e] + x[e - 1] * (total[e] - total[:e]) - (sums[e] - sums[:e])) for e in range(1, len(x) + 1)]])
+    got = packing.boundaries(x.tolist(), n.tolist(), 3)
+    up = np.array(got)[np.searchsorted(got, x)]
+    assert len(got) <= 3 and int((n * (up - x)).sum()) == best[-1]
+
+
 def test_pack_keeps_everything(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
     rng = random.Random(3)
