@@ -172,13 +172,14 @@ def flatten(df: DataFrame, a: Automaton, rec_id: str, json: str) -> DataFrame:
 
 
 def supertype_table(rows: DataFrame, a: Automaton, rec_id: str, flat: str) -> DataFrame:
-    """All variants of one state: keys, parent link, variant and the members that variants have in common."""
+    """All variants of one state: keys, parent link, variant, the members that variants have in common, and the whole
+    object, which also holds the members that are not typed."""
     inner = F.col("node")
     if any(f == flat and p for (f, _), (p, _) in a.typed.items()):  # members sit inside the one wrapping member
         inner = F.coalesce(*[as_object(_get(F.col("node"), p[0])) for (f, _), (p, _) in a.typed.items() if f == flat and p], F.col("node"))
     return rows.where(F.col("flat") == flat).select(
         rec_id, "i", "j", "k", "parent_flat", "parent_i", "parent_j", "parent_k", "variant",
-        *[F.try_variant_get(inner, f"$.{m}", t).alias(m) for m, t in a.common.get(flat, {}).items()])
+        *[F.try_variant_get(inner, f"$.{m}", t).alias(m) for m, t in a.common.get(flat, {}).items()], F.col("node").alias("members"))
 
 
 def subtype_table(rows: DataFrame, a: Automaton, rec_id: str, flat: str, variant: str) -> DataFrame:

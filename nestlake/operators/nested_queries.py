@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ LNK = N.Automaton(
     },
     common={
         "link_info": {"link_info_size": "bigint", "link_info_header_size": "bigint", "link_info_flags": "array<string>", "local_base_path": "string"},
-        "volume_id": {"volume_id_size": "bigint", "drive_type": "string", "drive_serial_number": "bigint", "volume_label_offset": "bigint"},
+        "volume_id": {"volume_id_size": "bigint", "drive_type": "string", "drive_serial_number": "bigint", "volume_label_offset": "bigint",
+                      "volume_label_unicode": "string"},
         "network_link": {"common_network_relative_link_size": "bigint", "net_name": "string", "network_provider_type": "string"},
         "shell_item": {}, "extra_block": _BLOCK,
         "property_storage": {"storage_size": "bigint", "version": "bigint", "format_id": "string"},
@@ -72,20 +75,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("lnk_id", "flat", "i", "j", "k").distinct()
 
 
-def p4_extra_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return N.supertype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", "extra_block")
+def _plain(t: DataFrame) -> DataFrame:
+    """Members of any type as JSON text, which every sink can hold."""
+    return t.select(*[F.to_json(c).alias(c) if kind == "variant" else c for c, kind in t.dtypes])
+
+
+def _supertype(flat: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _plain(N.supertype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", flat))
 
 
-def p4_volumes(spark: SparkSession, d: str) -> DataFrame:
-    return N.supertype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", "volume_id")
+def _subtype(flat: str, variant: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _plain(N.subtype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", flat, variant))
 
 
 def p4_trackers(spark: SparkSession, d: str) -> DataFrame:
-    t = N.subtype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", "extra_block", "TrackerDataBlock")
-    return t.withColumn("droid", F.concat_ws(",", "droid"))
+    return _subtype("extra_block", "TrackerDataBlock")(spark, d).withColumn("droid", F.concat_ws(",", "droid"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_extra_blocks": p4_extra_blocks, "p4_volumes": p4_volumes, "p4_trackers": p4_trackers}
+#: One query for each flat table: all variants of a state, then the typed members of each variant.
+_SUPERTYPES = {"p4_links": "link_info", "p4_volumes": "volume_id", "p4_networks": "network_link", "p4_shell_items": "shell_item",
+               "p4_extra_blocks": "extra_block", "p4_property_storages": "property_storage", "p4_property_values": "property_value"}
+QUERIES = {"p4_found": p4_found, "p4_trackers": p4_trackers} | {q: _supertype(flat) for q, flat in _SUPERTYPES.items()} | {
+    f"p4_{flat}_{variant}".lower(): _subtype(flat, variant) for flat, variant in LNK.typed if variant != "TrackerDataBlock"}
 
 
 def _o(j: str) -> str:

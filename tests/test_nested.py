@@ -89,3 +89,19 @@ def test_variants_and_typed_tables(spark):
 
 def test_empty(spark):
     assert N.flatten(spark.createDataFrame([], "rec long, j string"), LNK, "rec", "j").count() == 0
+
+
+def test_flat_tables_hold_all_members(spark, tmp_path):
+    from nestlake.operators.nested_queries import QUERIES
+
+    volume = {"volume_id_size": 1, "volume_label": "L", "volume_label_unicode": "Łódź", "later": [1, {"a": 2}]}
+    value = {"value_size": 3, "StringName": {"name": "n", "value": {"x": 1}}}
+    blocks = [{"PropertyStoreDataBlock": {"property_store": {"serialized_property_storage": [{"serialized_property_value": [value]}]}}}]
+    shell = {"id_list": {"item_id_list": [{"UriShellItem": {"uri": "u"}}]}}
+    result = {"ok": {"object_metadata": {"link_info": {"volume_id": volume}, "link_target_id_list": shell, "extra_data": blocks}}}
+    spark.sql("SELECT 1L AS lnk_id, current_timestamp() AS loaded_at").crossJoin(spark.createDataFrame([(json.dumps(result),)], "result string")).write.parquet(f"{tmp_path}/lnk_files.parquet")
+    rows = {q: QUERIES[q](spark, str(tmp_path)).collect() for q in ("p4_volumes", "p4_property_value_stringname")}
+    (v,) = rows["p4_volumes"]
+    assert v.volume_label_unicode == "Łódź" and json.loads(v.members) == volume
+    assert json.loads(rows["p4_property_value_stringname"][0].value) == {"x": 1}
+    assert len(QUERIES) == 1 + len({e.target for e in LNK.edges}) + len(LNK.typed)  # p4_found, all states, all typed variants
