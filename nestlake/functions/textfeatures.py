@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 URI = r"""(?i)\b((?:https?|ftp)://[^\s<>"'`{}|\\^\[\]]*[^\s<>"'`{}|\\^\[\].,;:!?()])"""
-PASSWORD = r"(?i)\b(?:(?:password|passphrase|passcode)\s?(?:[:-]|is)?|(?:pass|key|code)\s?(?::|is))\s(\S+)(?=\n|\z)"
+# Words that announce a password by themselves, and words that do so only with a mark behind them.
+PLAIN_WORDS = ("password", "passphrase", "passcode")
+MARKED_WORDS = ("pass", "key", "code")
+MARKS, ONLY_PLAIN_MARKS = (":", "is"), ("-",)
 CARD = r"\b((?:\d{4}[\s-]?){3}\d{4})\b"
 
 
@@ -39,7 +42,29 @@ def hosts(text: str) -> Column:
 
 
 def passwords(text: str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(PASSWORD), 1)))
+    """Last words of lines that an announcement stands right before, one white space between: an announcing word with
+    its mark, attached or one white space behind it, if it needs one."""
+    words, gaps = F.split(text, r"\s"), F.regexp_extract_all(text, F.lit(r"(\s)"), 1)
+
+    def named(word: Column, i: Column) -> Column:
+        ends = F.coalesce(F.get(gaps, i) == "\n", F.lit(True))
+        return F.when((word != "") & ends & F.coalesce(_announce(F.lower(F.get(words, i - 2)), F.lower(F.get(words, i - 1))), F.lit(False)), word)
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(words, named))))
+
+
+def _announce(first: Column, second: Column) -> Column:
+    ok = _ends_in(second, "", PLAIN_WORDS) | F.coalesce((second == "") & _ends_in(first, "", PLAIN_WORDS), F.lit(False))
+    for mark in MARKS + ONLY_PLAIN_MARKS:
+        own = PLAIN_WORDS + (() if mark in ONLY_PLAIN_MARKS else MARKED_WORDS)
+        ok = ok | _ends_in(second, mark, own) | F.coalesce((second == mark) & _ends_in(first, "", own), F.lit(False))
+    return ok
+
+
+def _ends_in(text: Column, mark: str, words: tuple[str, ...]) -> Column:
+    """Whether the text ends in one of the words and the mark, the word not inside a longer one."""
+    bare = F.when(text.endswith(mark), F.substring(text, F.lit(1), F.length(text) - len(mark)))
+    return F.coalesce(F.regexp_extract(bare, r"(?U)(\w+)$", 1).isin(*words), F.lit(False))
 
 
 def has_card_number(text: str) -> Column:

@@ -42,15 +42,17 @@ def text_all_ascii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_cc_luhn(spark: SparkSession, d: str) -> DataFrame:
-    """Customer keys written as card numbers: those that pass the check, as the text processor would flag them."""
-    digits = F.lpad(F.col("c_custkey").cast("string"), 12, "0")
-    text = F.concat(F.lit("card 4539-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4), F.lit(" "), F.substring(digits, 9, 4), F.lit("."))
-    return table(spark, d, "customer").select("c_custkey", text.alias("text")).where(T.has_card_number("text")).select("c_custkey")
+    """Documents that a card-like number was added to: those whose number passes the check, as the processor would flag them."""
+    digits = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    number = F.concat(F.lit("card 4539-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4), F.lit(" "), F.substring(digits, 9, 4), F.lit(". "))
+    return _docs(spark, d).select("doc_id", F.concat(number, "text").alias("text")).where(T.has_card_number("text")).select("doc_id")
 
 
 def text_passwords(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("Dear "), F.col("c_name"), F.lit("\nthe password: "), F.col("c_mktsegment"), F.lit("\nthe code was lost\npass is "), F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", text.alias("text")).select("c_custkey", F.explode(T.passwords("text")).alias("password"))
+    """Documents with lines added that name passwords, or nearly do."""
+    key = F.col("doc_id").cast("string")
+    text = F.concat("text", F.lit("\nlogin password: a"), key, F.lit("\nthe code was b"), key, F.lit("\nPassphrase- c"), key, F.lit("\nkey - d"), key, F.lit("\nkey is e"), key)
+    return _docs(spark, d).select("doc_id", text.alias("text")).select("doc_id", F.explode(T.passwords("text")).alias("password"))
 
 
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,10 +122,10 @@ SQL = {
     "text_uris": f"SELECT doc_id, unnest(list_distinct({_U})) AS uri FROM documents WHERE text IS NOT NULL",
     "text_hosts": f"SELECT DISTINCT doc_id, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM (SELECT doc_id, unnest({_U}) AS u FROM documents WHERE text IS NOT NULL)",
     "text_all_ascii": _N + "SELECT doc_id FROM c WHERE n = a",
-    "text_passwords": "SELECT c_custkey, c_mktsegment AS password FROM customer UNION SELECT c_custkey, c_name FROM customer",
-    "text_cc_luhn": """WITH k AS (SELECT c_custkey, '4539' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS d FROM customer),
-x AS (SELECT c_custkey, i, CAST(d[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 2 ELSE 1 END AS v FROM (SELECT *, unnest(range(1, 17)) AS i FROM k))
-SELECT c_custkey FROM x GROUP BY c_custkey HAVING sum(CASE WHEN v > 9 THEN v - 9 ELSE v END) % 10 = 0""",
+    "text_passwords": "SELECT doc_id, p || doc_id AS password FROM documents, (SELECT unnest(['a', 'c', 'e']) AS p) WHERE text IS NOT NULL",
+    "text_cc_luhn": """WITH k AS (SELECT doc_id, '4539' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS d FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, i, CAST(d[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 2 ELSE 1 END AS v FROM (SELECT *, unnest(range(1, 17)) AS i FROM k))
+SELECT doc_id FROM x GROUP BY doc_id HAVING sum(CASE WHEN v > 9 THEN v - 9 ELSE v END) % 10 = 0""",
     "content_hashes": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "html_domains": """WITH x AS (SELECT doc_id FROM documents WHERE text IS NOT NULL)
 SELECT 'w' || doc_id AS work_id, 'h' || (doc_id % 7) || '.example.org' AS domain FROM x UNION ALL SELECT 'w' || doc_id, 'img.example.net' FROM x""",

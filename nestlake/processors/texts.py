@@ -13,10 +13,10 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import unquote_to_bytes, urlsplit
 
+from nestlake.functions.textfeatures import MARKED_WORDS, MARKS, ONLY_PLAIN_MARKS, PLAIN_WORDS
 from nestlake.processors.base import Collector, Job, Malformed, Result, processor
 
 URI = re.compile(r"\b((?:https?|ftp)://[^\s<>\"'`{}|\\^\[\]]*[^\s<>\"'`{}|\\^\[\].,;:!?()])", re.I)
-PASSWORD = re.compile(r"\b(?:(?:password|passphrase|passcode)\s?(?:[:-]|is)?|(?:pass|key|code)\s?(?::|is))\s(\S+)(?=\n|\Z)", re.I)
 CARD = re.compile(r"\b(?:\d{4}[\s-]?){3}\d{4}\b")
 MAX_URL = 1024
 
@@ -38,6 +38,26 @@ def decode(content: bytes) -> tuple[str, str, bool]:
     return text, name, "\ufffd" in text
 
 
+def possible_passwords(text: str) -> list[str]:
+    """Last words of lines behind an announcement; the same rule as in functions.textfeatures."""
+    found, words = set(), re.split(r"(\s)", text)
+    words, gaps = words[::2], [*words[1::2], "\n"]
+    for i, word in enumerate(words):
+        if i and word and gaps[i] == "\n" and _announced(words[i - 2].lower() if i > 1 else "", words[i - 1].lower()):
+            found.add(word)
+    return sorted(found)
+
+
+def _announced(first: str, second: str) -> bool:
+    for mark in ("", *MARKS, *ONLY_PLAIN_MARKS):
+        own = PLAIN_WORDS + (MARKED_WORDS if mark in MARKS else ())
+        for said in [second[:len(second) - len(mark)]] * second.endswith(mark) + [first] * (second == mark):
+            last = re.search(r"\w+\Z", said)
+            if last and last[0] in own:
+                return True
+    return False
+
+
 def luhn(digits: str) -> bool:
     d = [int(x) for x in reversed(digits)]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
@@ -91,7 +111,7 @@ def text(job: Job) -> Result:
         for u in uris:
             out.add(u.encode(), {"url": u}, "URL")
     meta = {"encoding": encoding, "programming_language": code, "number_of_characters": len(t), "number_of_digits": digits, "number_of_ascii_range_chars": sum(map(str.isascii, t)), "number_of_whitespaces": spaces,
-            "number_of_newlines": t.count("\n"), "number_of_words": len(t.split()), "uris": uris, "possible_passwords": sorted(set(PASSWORD.findall(t))) if code is None else [], "unique_hosts": hosts, "unique_domains": domains}
+            "number_of_newlines": t.count("\n"), "number_of_words": len(t.split()), "uris": uris, "possible_passwords": possible_passwords(t) if code is None else [], "unique_hosts": hosts, "unique_domains": domains}
     return Result(meta, symbols + out.symbols, out.children)
 
 

@@ -4,7 +4,7 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
-from golden import rows as golden_rows
+from depot import grow, tables
 
 from nestlake.operators.ingest import dissect, passwords_of
 from nestlake.plans.compiler import nodes
@@ -101,14 +101,15 @@ def test_registry():
 
 
 def test_streams(spark, tmp_path):
-    o, r = golden_rows()
+    forest = grow()
+    o, r = tables(forest)
     schema = "id long, org string, work_id string, is_entry boolean, object_id string, object_type string, object_subtype string, recursion_level int, size long, hashes string, t timestamp, result string, entropy double"
     objects, rels = spark.createDataFrame(o, schema), spark.createDataFrame(r, "parent long, child long, props string")
-    spark.createDataFrame([("work_001",), ("work_003",)], "work_id string").write.parquet(f"{tmp_path}/done")
+    spark.createDataFrame([(f"delivery-{k}",) for k in range(5)], "work_id string").write.parquet(f"{tmp_path}/done")
     done = spark.readStream.schema("work_id string").parquet(f"{tmp_path}/done")
-    q = scenario_stream(done, lambda: (objects, rels), lambda: [Scenario("z", "act", "me", 'is_entry && object_type == "Zip"')], f"{tmp_path}/out", f"{tmp_path}/c1")
+    q = scenario_stream(done, lambda: (objects, rels), lambda: [Scenario("z", "act", "me", 'is_entry && object_type == "PE"')], f"{tmp_path}/out", f"{tmp_path}/c1")
     q.awaitTermination(120)
-    assert {x.work_id for x in spark.read.parquet(f"{tmp_path}/out").collect()} == {"work_001", "work_003"}
+    assert {x.work_id for x in spark.read.parquet(f"{tmp_path}/out").collect()} == {x.work for x in forest if x.parent is None and x.kind == "PE" and x.work in [f"delivery-{k}" for k in range(5)]} != set()
     spark.createDataFrame([("w1", "o", datetime(2020, 1, 1), nested_zip(2), "{}")], SUBMITTED).write.parquet(f"{tmp_path}/sub")
     q = dissect_stream(spark.readStream.schema(SUBMITTED).parquet(f"{tmp_path}/sub"), f"{tmp_path}/graph", f"{tmp_path}/c2")
     q.awaitTermination(120)
