@@ -44,13 +44,17 @@ def hosts(text: str) -> Column:
 def passwords(text: str) -> Column:
     """Last words of lines that an announcement stands right before, one white space between: an announcing word with
     its mark, attached or one white space behind it, if it needs one."""
-    words, gaps = F.split(text, r"\s"), F.regexp_extract_all(text, F.lit(r"(\s)"), 1)
+    split = F.struct(F.split(text, r"\s").alias("words"), F.regexp_extract_all(text, F.lit(r"(\s)"), 1).alias("gaps"))
 
-    def named(word: Column, i: Column) -> Column:
-        ends = F.coalesce(F.get(gaps, i) == "\n", F.lit(True))
-        return F.when((word != "") & ends & F.coalesce(_announce(F.lower(F.get(words, i - 2)), F.lower(F.get(words, i - 1))), F.lit(False)), word)
+    def in_text(x: Column) -> Column:  # the lambda's variable, so that the text is split once
+        def named(word: Column, i: Column) -> Column:
+            ends = F.coalesce(F.get(x["gaps"], i) == "\n", F.lit(True))
+            return F.when((word != "") & ends & F.coalesce(_announce(F.lower(F.get(x["words"], i - 2)), F.lower(F.get(x["words"], i - 1))), F.lit(False)), word)
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(words, named))))
+        return F.transform(x["words"], named)
+
+    found = F.flatten(F.transform(F.array(split), in_text))
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
 def _announce(first: Column, second: Column) -> Column:
