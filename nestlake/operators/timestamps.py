@@ -2,17 +2,20 @@
 
 Texts are tokenised into shape masks (digits become 9, letters a). Each distinct mask of a batch is compiled once to a
 parser, that is to character positions of its fields, and all texts of that mask are converted together by numpy.
-Local times go through transition tables built once by the driver (``functions.zones``).
+Local times go through transition tables of the whole range of the zone rules (``functions.zones``), all of the
+driver's version.
 
 Statuses: ``ok``; ``none`` (null, blank, 0, INVALID); ``ambiguous`` (the local time occurred twice; the instant column
-holds null, first and second instant are in ``earliest``/``latest``); ``nonexistent`` (it never occurred);
+holds null, first and last instant are in ``earliest``/``latest``); ``nonexistent`` (it never occurred);
+``several_epochs`` (a number that several epochs put between ``since`` and ``until``; earliest and latest as above);
 ``unparsed`` (no known shape, no calendar date, unknown abbreviation, or a number outside every epoch's range);
 ``unknown_zone`` (zone-less text whose zone name does not exist).
 
-Defined results: text without zone is local time of its zone, null or blank zone means UTC; an explicit offset or a
-zone abbreviation (of the text's zone, else UTC/GMT/Z) always gives one instant; dotted dates have the day first,
-slashed ones the month; a second of 60 is the next minute's first; a date without time is its midnight; texts longer
-than 64 characters are unparsed.
+Defined results: text without zone is local time of its zone, null or blank zone means UTC; an explicit offset always
+gives one instant, and so does a zone abbreviation (of the text's zone, else UTC/GMT/Z) unless the zone changed its
+offset and kept the name; dotted dates have the day first, slashed ones the month; a second of 60 is the next minute's
+first; a date without time is its midnight. Only bare numbers are held against ``since`` and ``until``; dates may be of
+any year from 1 to 9999.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from nestlake.functions import zones
 
-WIDTH = 64
+#: No text of the grammar below is longer, since each of its parts is bounded; longer ones need not be looked at.
+WIDTH = 80
 # Month names of RFC 2822 and of ctime, in order.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 # Known epochs as (name, ticks per second, seconds from 1970 to the epoch).
@@ -37,7 +42,8 @@ EPOCHS = (
     ("filetime_100ns", 10**7, -11644473600), ("webkit_us", 10**6, -11644473600),
     ("mac1904_s", 1, -2082844800), ("cocoa2001_s", 1, 978307200), ("ticks0001_100ns", 10**7, -62135596800),
 )
-_LO, _HI = 1293753600, 2114467200  # 2010-12-31 and 2037-01-02
+#: Bare numbers are taken for instants of these years, unless the caller knows better.
+SINCE, UNTIL = datetime(1970, 1, 1), datetime(2101, 1, 1)
 SCHEMA = "instant timestamp_ntz, status string, earliest timestamp_ntz, latest timestamp_ntz"
 
 _TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?"
@@ -48,7 +54,7 @@ _GRAMMAR = [re.compile(f"^{g}$") for g in (
     rf"(?P<d>99?)[.](?P<mo>99?)[.](?P<y>9999)(?: {_TIME}{_ZONE})?",
     rf"(?P<mo>99?)/(?P<d>99?)/(?P<y>9999)(?:,? {_TIME} ?(?P<half>aa))?",
     rf"(?P<mo>99?)/(?P<d>99?)/(?P<y>9999),? {_TIME}{_ZONE}",
-    rf"(?:a+, ?)?(?P<d>99?) (?P<mon>a{{3}}) (?P<y>9999) {_TIME}{_ZONE}",
+    rf"(?:a{{1,12}}, ?)?(?P<d>99?) (?P<mon>a{{3}}) (?P<y>9999) {_TIME}{_ZONE}",
     rf"a{{3}} (?P<mon>a{{3}}) {{1,2}}(?P<d>99?) {_TIME} (?P<y>9999)",
     r"(?P<n>9{1,19})(?:[.](?P<f>9{1,9}))?",
 )]
@@ -90,17 +96,17 @@ def _micros(chars: np.ndarray, at: dict) -> np.ndarray:
     return n * 10 ** (6 - min(b - a, 6))
 
 
-def _epoch(chars: np.ndarray, at: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Microseconds since 1970 and whether some epoch's range holds the number (the ranges do not meet)."""
+def _epoch(chars: np.ndarray, at: dict, span: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Earliest and latest microseconds since 1970 that an epoch gives within the span (seconds), and how many do."""
     whole, frac = _digits(chars, at["n"]), _micros(chars, at)
-    us, ok = np.zeros(len(whole), np.int64), np.zeros(len(whole), bool)
+    first, last, count = np.full(len(whole), 2**62), np.full(len(whole), -(2**62)), np.zeros(len(whole), np.int64)
     for _, ticks, base in EPOCHS:
-        lo, hi = (_LO - base) * ticks, (_HI - base) * ticks
-        hit = (whole >= lo) & (whole < min(hi, 2**63 - 1))
-        sec = whole // ticks + base
-        sub = (whole % ticks) * 10**6 // ticks + (frac // ticks)
-        us, ok = np.where(hit, sec * 10**6 + sub, us), ok | hit
-    return us, ok
+        lo, hi = (max(min((s - base) * ticks, 2**63 - 1), -(2**63)) for s in span)
+        hit = (whole >= lo) & (whole < hi)
+        us = (whole // ticks + base) * 10**6 + (whole % ticks) * 10**6 // ticks + frac // ticks
+        first, last = np.where(hit, np.minimum(first, us), first), np.where(hit, np.maximum(last, us), last)
+        count += hit
+    return np.where(count > 0, first, 0), np.where(count > 0, last, 0), count
 
 
 def _calendar(chars: np.ndarray, at: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +134,10 @@ def _calendar(chars: np.ndarray, at: dict) -> tuple[np.ndarray, np.ndarray]:
     return days * 86400 + h * 3600 + mi * 60 + s, ok
 
 
-def convert(text: pd.Series, zone: pd.Series, tables: dict[str, zones.Zone]) -> pd.DataFrame:
+def convert(text: pd.Series, zone: pd.Series, tables: zones.Tables, since: datetime = SINCE, until: datetime = UNTIL) -> pd.DataFrame:
     """Vectorised core: one batch of texts with their zones."""
     n = len(text)
+    span = tuple(int((x - datetime(1970, 1, 1)).total_seconds()) for x in (since, until))
     raw = text.where(text.notna(), "").astype(str).str.strip()
     us, late = np.zeros(n, np.int64), np.zeros(n, np.int64)
     status = np.full(n, "unparsed", object)
@@ -148,9 +155,8 @@ def convert(text: pd.Series, zone: pd.Series, tables: dict[str, zones.Zone]) ->
             continue
         chars = chars_all[rows]
         if "n" in at:
-            value, ok = _epoch(chars, at)
-            us[rows], late[rows] = value, value
-            status[rows[ok]] = "ok"
+            us[rows], late[rows], count = _epoch(chars, at, span)
+            status[rows] = np.array(["unparsed", "ok", "several_epochs"], object)[np.minimum(count, 2)]
             continue
         local, ok = _calendar(chars, at)
         micros = _micros(chars, at)
@@ -166,36 +172,33 @@ def convert(text: pd.Series, zone: pd.Series, tables: dict[str, zones.Zone]) ->
         for z in set(zname[rows]):
             own = zname[rows] == z
             t = tables.get(z)
-            if names is not None:
-                for ab in set(names[own]):
-                    hit = own & (names == ab)
-                    off = (t.abbreviations.get(ab) if t else None)
-                    off = 0 if off is None and ab in ("Z", "UTC", "GMT", "UT") else off
-                    if off is None:
-                        continue
-                    us[rows[hit]] = late[rows[hit]] = (local[hit] - off) * 10**6 + micros[hit]
-                    status[rows[hit & ok]] = "ok"
-                continue
-            if t is None:
-                status[rows[own & ok]] = "unknown_zone"
-                continue
-            utc, count = t.resolve(local[own])
-            us[rows[own]] = utc * 10**6 + micros[own]
-            gap = np.abs(t.offset_at(local[own] + 86400) - t.offset_at(local[own] - 86400))
-            late[rows[own]] = us[rows[own]] + np.where(count == 2, gap, 0) * 10**6
-            status[rows[own]] = np.where(ok[own], np.array(["nonexistent", "ok", "ambiguous"], object)[count], "unparsed")
+            for name in (None,) if names is None else set(names[own]):
+                mine = own if name is None else own & (names == name)
+                if name is None:
+                    found = t.resolve(local[mine]) if t else None
+                else:
+                    found = t.resolve_named(local[mine], name) if t else None
+                    if found is None and name in ("Z", "UTC", "GMT", "UT"):
+                        found = local[mine], local[mine], np.ones(mine.sum(), np.int64)
+                if found is None:
+                    status[rows[mine & ok]] = "unknown_zone" if name is None else "unparsed"
+                    continue
+                first, last, count = found
+                us[rows[mine]], late[rows[mine]] = first * 10**6 + micros[mine], last * 10**6 + micros[mine]
+                status[rows[mine]] = np.where(ok[mine], np.array(["nonexistent", "ok", "ambiguous"], object)[np.minimum(count, 2)], "unparsed")
     stamp = pd.Series(us.view("datetime64[us]"))
     last = pd.Series(late.view("datetime64[us]"))
-    known = np.isin(status, ("ok", "ambiguous"))
+    known = np.isin(status, ("ok", "ambiguous", "several_epochs"))
     return pd.DataFrame({"instant": stamp.where(status == "ok"), "status": status, "earliest": stamp.where(known), "latest": last.where(known)})
 
 
-def normaliser() -> Callable[[Column, Column], Column]:
-    """Pandas UDF (text, zone) -> struct of SCHEMA, carrying the driver's zone tables."""
-    tables = zones.tables()
+def normaliser(since: datetime = SINCE, until: datetime = UNTIL) -> Callable[[Column, Column], Column]:
+    """Pandas UDF (text, zone) -> struct of SCHEMA, carrying the driver's zone rules. ``since`` and ``until``: between
+    which instants bare numbers lie, so far as that is known."""
+    tables = zones.Tables()
 
     @F.pandas_udf(SCHEMA)
     def to_instant(text: pd.Series, zone: pd.Series) -> pd.DataFrame:
-        return convert(text, zone, tables)
+        return convert(text, zone, tables, since, until)
 
     return to_instant

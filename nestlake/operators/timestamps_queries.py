@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestlake.operators.timestamps import normaliser
 from nestlake.runtime import table
 
+#: What is known of these tables: all their instants lie between 2011 and 2036.
+SINCE, UNTIL = datetime(2010, 12, 31), datetime(2037, 1, 2)
 #: Two times further apart than this contradict each other.
 TOLERANCE_US = 60 * 1_000_000
 
 
 def _pairs(spark: SparkSession, d: str, src: str) -> DataFrame:
     """(rec_id, a, b): both converted time columns of a table."""
-    at = normaliser()
+    at = normaliser(SINCE, UNTIL)
     if src == "archive_entries":
         t = table(spark, d, src).select(F.col("entry_id").alias("rec_id"), F.col("creation_date").alias("x"), F.col("last_modified_date").alias("y"), "site_tz")
     else:

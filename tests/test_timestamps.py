@@ -6,18 +6,19 @@ import pandas as pd
 import pytest
 
 from nestlake.functions import zones
-from nestlake.operators.timestamps import EPOCHS, _HI, _LO, convert, normaliser
+from nestlake.operators.timestamps import EPOCHS, _GRAMMAR, WIDTH, convert, normaliser
+from nestlake.operators.timestamps_queries import SINCE, UNTIL
 
 ZONES = ["Europe/Rome", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "UTC", "Australia/Lord_Howe"]
 
 
 @pytest.fixture(scope="module")
 def tables():
-    return {z: zones._build(z) for z in ZONES}
+    return zones.Tables()
 
 
-def one(text, zone, tables):
-    r = convert(pd.Series([text]), pd.Series([zone]), tables).iloc[0]
+def one(text, zone, tables, *span):
+    r = convert(pd.Series([text]), pd.Series([zone]), tables, *span).iloc[0]
     return r.status, None if pd.isna(r.instant) else r.instant.to_pydatetime()
 
 
@@ -26,9 +27,11 @@ def test_local_times_against_fold(tables):
     texts, zs, expected = [], [], []
     for z in ZONES:
         info = ZoneInfo(z)
-        for s in tables[z].starts[1:]:
-            base = datetime.fromtimestamp(int(s), UTC).replace(tzinfo=None) + timedelta(seconds=int(tables[z].offsets[0]))
-            if not 2012 <= base.year <= 2030:
+        for s in tables.get(z).starts[1:]:
+            if s > 5_000_000_000:
+                break
+            base = datetime.fromtimestamp(int(s), UTC).replace(tzinfo=None) + timedelta(seconds=int(tables.get(z).offsets[-1]))
+            if not 1900 <= base.year <= 2100:
                 continue
             for k in range(-6, 7):
                 local = base.replace(minute=0, second=0) + timedelta(minutes=30 * k, seconds=7)
@@ -54,7 +57,36 @@ def test_local_times_against_fold(tables):
     ("1593604800123456", "UTC", datetime(2020, 7, 1, 12, 0, 0, 123456)), ("132380784000000000", "UTC", datetime(2020, 7, 1, 12)), (" 2020-07-01 ", "UTC", datetime(2020, 7, 1)),
 ])
 def test_forms(text, zone, expected, tables):
-    assert one(text, zone, tables) == ("ok", expected)
+    assert one(text, zone, tables, SINCE, UNTIL) == ("ok", expected)
+
+
+def test_far_years(tables):
+    assert one("1999-07-01 12:00:00", "America/New_York", tables) == ("ok", datetime(1999, 7, 1, 16))
+    assert one("1995-06-01 12:00:00", "Europe/Berlin", tables) == ("ok", datetime(1995, 6, 1, 10))
+    assert one("2005-04-03 02:30:00", "America/New_York", tables)[0] == "nonexistent"
+    assert one("1999-10-31 01:30:00", "America/New_York", tables)[0] == "ambiguous"
+    assert one("946684800", "UTC", tables)[0] == "several_epochs" and one("946684800", "UTC", tables, SINCE, UNTIL) == ("ok", datetime(2031, 1, 1))
+    assert one("946684800", "UTC", tables, datetime(1995, 1, 1), datetime(2030, 1, 1)) == ("ok", datetime(2000, 1, 1))
+    assert one("2011-12-30 12:00:00", "Pacific/Apia", tables)[0] == "nonexistent" and one("2400-07-01 12:00:00", "Europe/Rome", tables) == ("ok", datetime(2400, 7, 1, 10))
+    assert one("2012-01-05 12:00:00 MSK", "Europe/Moscow", tables) == ("ok", datetime(2012, 1, 5, 8)) and one("2018-01-05 12:00:00 MSK", "Europe/Moscow", tables) == ("ok", datetime(2018, 1, 5, 9))
+    assert one("2014-10-26 01:30:00 MSK", "Europe/Moscow", tables)[0] == "ambiguous" and one("2020-01-05 12:00:00 CEST", "Europe/Rome", tables) == ("ok", datetime(2020, 1, 5, 10))
+
+
+def test_all_zones_as_in_the_standard_library(tables):
+    """Offsets of all zones at random instants of 1970 to 2100, and around their changes of some years, and far ahead."""
+    rng = random.Random(1)
+    for z in sorted(tables.rules):
+        t, info = tables.get(z), ZoneInfo(z)
+        at = [rng.randrange(4_133_980_800) for _ in range(40)] + [rng.randrange(4_200_000_000, 200_000_000_000) for _ in range(10)]
+        at += [int(s) + d for s in t.starts[1:] if 0 < s < 4_133_980_800 for d in (-1, 0)][-60:]
+        got = t.offset_at(pd.Series(at).to_numpy())
+        assert [int((datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=a)).astimezone(info).utcoffset().total_seconds()) for a in at] == got.tolist(), z
+
+
+def test_no_form_is_wider_than_looked_at():
+    longest = "a" * 12 + ", 99 aaa 9999 99:99:99." + "9" * 9 + " +99:99:99"
+    assert any(g.match(longest) for g in _GRAMMAR) and len(longest) <= WIDTH
+    assert not any("+" in g.pattern.replace("[+-]", "").replace("[.,]", "") for g in _GRAMMAR)
 
 
 @pytest.mark.parametrize(("text", "zone", "status"), [
@@ -62,11 +94,11 @@ def test_forms(text, zone, expected, tables):
     ("2020-07-01 12:00:00", "Mars/Base", "unknown_zone"), ("2020-07-01 12:00:00 XYZ", "UTC", "unparsed"), ("13/13/2020 01:00:00 AM", "UTC", "unparsed"), ("12345", "UTC", "unparsed"), ("٢٠٢٠-01-01", "UTC", "unparsed"),
 ])
 def test_no_instant(text, zone, status, tables):
-    assert one(text, zone, tables) == (status, None)
+    assert one(text, zone, tables, SINCE, UNTIL) == (status, None)
 
 
 def test_ranges_of_epochs_do_not_meet():
-    spans = sorted(((_LO - base) * ticks, (_HI - base) * ticks) for _, ticks, base in EPOCHS)
+    spans = sorted(tuple(((x - datetime(1970, 1, 1)).total_seconds() - base) * ticks for x in (SINCE, UNTIL)) for _, ticks, base in EPOCHS)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
