@@ -73,5 +73,5 @@ FROM (SELECT id, depth, ids, unnest(range(1, depth)) AS i FROM w)""",
 SELECT un.parent, un.id AS child, 'closes_circle' AS problem FROM un JOIN cyc ON cyc.id = un.id
 UNION ALL SELECT parent, id, 'missing_parent' FROM u WHERE parent IS NOT NULL AND known IS NULL
 UNION ALL SELECT parent, child, 'missing_child' FROM e WHERE child NOT IN (SELECT id FROM o)
-UNION ALL SELECT min(parent), child, 'multi_parent' FROM e WHERE child IN (SELECT id FROM o) GROUP BY child HAVING count(*) > 1""",
+UNION ALL SELECT parent, child, 'multi_parent' FROM e WHERE child IN (SELECT child FROM e WHERE child IN (SELECT id FROM o) GROUP BY child HAVING count(*) > 1)""",
 }

@@ -26,24 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, *metrics: Column, rebalance: bool = True) -> DataFrame | tuple[DataFrame, dict]:
+def cut(df: DataFrame, *metrics: Column, rebalance: bool = True, into: str | None = None) -> DataFrame | tuple[DataFrame, dict]:
     """Write df as a parquet table in the shared folder and read it back: lineage ends, a lost executor loses nothing,
     and later joins know the true size (so Spark broadcasts it only below its own threshold).
 
     ``metrics`` are aggregates observed while writing: with any given, (table, {alias: value}) is returned, which
     saves the job that would count them. ``rebalance`` lets AQE merge small and split large output partitions first.
+    ``into``: a folder from ``fresh_dir`` that the table becomes a part of; ``gathered`` reads all its parts as one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/nestlake-{uuid.uuid4().hex}"
+    path = f"{into}/{uuid.uuid4().hex}" if into else fresh_dir(spark)
     out, seen = df.hint("rebalance") if rebalance else df, Observation()
     if metrics:
         out = out.observe(seen, *metrics)
     out.write.parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     return (back, seen.get) if metrics else back
 
 
+def fresh_dir(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/nestlake-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def gathered(like: DataFrame, folder: str) -> DataFrame:
+    """All parts that were cut into a folder, as one scan."""
+    return like.sparkSession.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
