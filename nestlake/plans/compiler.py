@@ -29,17 +29,54 @@ COLUMNS = ("id", "work_id", "object_id", "org", "object_type", "object_subtype",
 MAX_DEPTH = 1000
 
 
+LINKS = ("parent", "props")
+
+
+class Nodes:
+    """Node rows of stored tables, planned for each use: row conditions go to the scan, repeated rows count once only
+    among those that are left, and links are joined only where a condition looks at them.
+
+    Rows repeated with differing content (which no store should hold) keep the smallest value of each column; of several
+    links of a node the one with the largest parent counts. Without ``rels`` the rows are taken as they are.
+    """
+
+    def __init__(self, objects: DataFrame, rels: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None, keys: tuple[str, ...] = ()) -> None:
+        self.objects, self.rels, self.narrow, self.keys = objects, rels, narrow, keys
+
+    def within(self, narrow: Callable[[DataFrame], DataFrame], *keys: str) -> Nodes:
+        """The same nodes, joined with what ``narrow`` joins them with; ``keys``: columns that this adds."""
+        return Nodes(self.objects, self.rels, narrow, keys)
+
+    def rows(self, pre: Column | None = None, links: bool = True) -> DataFrame:
+        x, own = self.objects, [c for c in COLUMNS if c not in LINKS]
+        if self.rels is None:
+            x = x if pre is None else x.where(pre)
+            x = x if self.narrow is None else self.narrow(x)
+            return x.select(*self.keys, *own, *(LINKS if links else ()))
+        if "entropy" not in x.columns:
+            x = x.withColumn("entropy", F.lit(None).cast("double"))
+        text = x.schema["hashes"].dataType.simpleString() == "string"
+        parsed = lambda: F.from_json("hashes", "map<string,string>") if text else F.col("hashes")
+        if pre is not None:
+            x = x.withColumn("__h", F.col("hashes")).withColumn("hashes", parsed()).where(pre).withColumn("hashes", F.col("__h"))
+        x = x.groupBy("id").agg(*[(F.min(c) if text or c != "hashes" else F.any_value(c)).alias(c) for c in own if c != "id"])
+        x = x.withColumn("hashes", parsed()).select(*own)
+        x = x if self.narrow is None else self.narrow(x)
+        if not links:
+            return x
+        up = self.own_links().withColumnRenamed("child", "__child")
+        return x.join(up, F.col("id") == F.col("__child"), "left").drop("__child").select(*self.keys, *COLUMNS)
+
+    def own_links(self) -> DataFrame:
+        """(child, parent, props): one link of each node."""
+        if self.rels is None:
+            return self.objects.select(F.col("id").alias("child"), *LINKS)
+        return self.rels.groupBy("child").agg(F.max(F.struct(*LINKS)).alias("r")).select("child", "r.*")
+
+
 def nodes(objects: DataFrame, rels: DataFrame) -> DataFrame:
-    """Stored tables -> node rows: repeated rows count once, each node gets its own link's parent and props."""
-    packed = F.struct(*[c for c in COLUMNS if c in objects.columns and c != "id"])
-    once = objects.groupBy("id").agg(F.any_value(packed).alias("o")).select("id", "o.*")
-    hashes = objects.schema["hashes"].dataType.simpleString()
-    if hashes == "string":
-        once = once.withColumn("hashes", F.from_json("hashes", "map<string,string>"))
-    if "entropy" not in once.columns:
-        once = once.withColumn("entropy", F.lit(None).cast("double"))
-    own = rels.groupBy("child").agg(F.max(F.struct("parent", "props")).alias("r")).select(F.col("child").alias("__child"), "r.parent", "r.props")
-    return once.join(own, once["id"] == own["__child"], "left").drop("__child").select(*COLUMNS)
+    """Stored tables -> all node rows."""
+    return Nodes(objects, rels).rows()
 
 
 def symbols(result: str = "result") -> Column:
@@ -53,20 +90,69 @@ def names(props: str = "props") -> Column:
     return F.array_compact(F.array_distinct(F.concat(F.array(one), many)))
 
 
+_ROW_CALLS = ("get_hash", "has_symbol", "has_name", "has_error", "is_root", "date_since", "date_range", "match_pattern", "count_conditions")
+
+
+def _parts(c: object) -> tuple:
+    if isinstance(c, A.Chain):
+        return c.parts
+    if isinstance(c, A.Not):
+        return (c.part,)
+    if isinstance(c, A.Compare):
+        return (c.left, c.right)
+    if isinstance(c, A.Among):
+        return (c.left,)
+    return c.args if isinstance(c, A.Call) and c.name == "count_conditions" else ()
+
+
+def by_row(c: object) -> bool:
+    """Whether a condition is settled by the node's own row, so that no join is planned for it."""
+    if isinstance(c, A.Call) and (c.name not in _ROW_CALLS or (c.args and isinstance(c.args[0], A.TextTest) and c.args[0].kind == "selector")):
+        return False
+    if (isinstance(c, A.MetaTest) and c.kind == "selector") or (isinstance(c, A.Among) and isinstance(c.values, A.Variable)):
+        return False
+    return all(by_row(p) for p in _parts(c))
+
+
+def by_link(c: object) -> bool:
+    """Whether a condition looks at the node's link: its parent or the properties of the relation."""
+    if isinstance(c, A.Call) and c.name in ("has_name", "has_parent", "has_sibling", "count_siblings"):
+        return True
+    return (isinstance(c, A.MetaTest) and c.root == "relation") or any(by_link(p) for p in _parts(c))
+
+
+def conjuncts(c: object) -> list:
+    if isinstance(c, A.Chain) and all(g == "and" for g in c.glue):
+        return [y for x in c.parts for y in conjuncts(x)]
+    return [c]
+
+
 class Compiler:
     """Compiles conditions over one set of nodes. ``closure``: () -> DataFrame(anc, desc, depth), made when first needed."""
 
-    def __init__(self, base: DataFrame, closure: Callable[[], DataFrame] | None = None, variables: dict | None = None, keys: tuple[str, ...] = ("work_id",),
+    def __init__(self, base: Nodes, closure: Callable[[], DataFrame] | None = None, variables: dict | None = None, keys: tuple[str, ...] = ("work_id",),
                  selectors: dict[str, DataFrame] | None = None, pattern_tag: str = "Pattern.", compat: bool = False) -> None:
         self.base, self.closure, self.variables, self.keys = base, closure, variables or {}, keys
         self.selectors, self.tag, self.compat = selectors or {}, pattern_tag, compat
         self.names = (f"__f{k}" for k in itertools.count())
         self.memo: dict = {}
 
-    def select(self, cond: object) -> DataFrame:
-        """The nodes for which the condition is true."""
-        df, col = self.flag(self.base, cond)
-        return df.where(col).select(*self.base.columns)
+    def select(self, cond: object, links: bool = False) -> DataFrame:
+        """The nodes for which the condition is true, with parent and props if ``links``. Conjuncts that concern the row
+        alone are applied before anything is shuffled."""
+        pre, rest = None, []
+        for c in conjuncts(cond):
+            if by_row(c) and not by_link(c):
+                x = self.flag(None, c)[1]
+                pre = x if pre is None else pre & x
+            else:
+                rest.append(c)
+        df = self.base.rows(pre, links or any(by_link(c) for c in rest))
+        columns = [c for c in df.columns if links or c not in LINKS]
+        for c in rest:
+            df, x = self.flag(df, c)
+            df = df.where(x)
+        return df.select(*columns)
 
     # -- conditions
 
@@ -131,7 +217,7 @@ class Compiler:
         if name == "is_root":
             return df, F.col("is_entry")
         if name == "is_leaf":
-            df, n = self._counted(df, ("leaf",), lambda: self._grouped(self.base, "parent"), "id")
+            df, n = self._counted(df, ("leaf",), lambda: self._grouped(self.base.rows(), "parent"), "id")
             return df, n == 0
         if name == "date_since":
             return df, F.col("t") >= F.lit(self.constant(c.args[0])[0])
@@ -159,15 +245,15 @@ class Compiler:
         kind = c.name.partition("_")[2]
         inner, depth = c.args
         depth = MAX_DEPTH if depth is None else depth
-        hit = lambda: self.base if inner is None else self.select(inner)
+        hit = lambda links=False: self.base.rows(None, links) if inner is None else self.select(inner, links)
         if kind in ("child", "children"):
-            return self._counted(df, ("child", inner), lambda: self._grouped(hit(), "parent"), "id")
+            return self._counted(df, ("child", inner), lambda: self._grouped(hit(True), "parent"), "id")
         if kind == "parent":
             return self._counted(df, ("parent", inner), lambda: self._grouped(hit(), "id"), "parent")
         if kind == "root":
             return self._counted(df, ("root", inner), lambda: self._grouped(hit().where("is_entry"), None), None)
         if kind in ("sibling", "siblings"):
-            df, all_of = self._counted(df, ("child", inner), lambda: self._grouped(hit(), "parent"), "parent")
+            df, all_of = self._counted(df, ("child", inner), lambda: self._grouped(hit(True), "parent"), "parent")
             df, self_too = self._counted(df, ("self", inner), lambda: self._grouped(hit(), "id"), "id")
             return df, F.when(F.col("parent").isNull(), 0).otherwise(all_of - self_too)
         near, far = ("anc", "desc") if kind in ("descendant", "descendants") else ("desc", "anc")
@@ -215,7 +301,7 @@ class Compiler:
 
     def _any_text(self, df: DataFrame, values: Column, t: A.TextTest) -> tuple[DataFrame, Column]:
         if t.kind == "selector":
-            return self._lists_meet(df, values, t.value, t.negated)
+            return self._lists_meet(df, values, t.value, t.negated, True)
         if t.kind == "equals":
             return df, F.array_contains(values, self.constant(t.value))
         return df, F.exists(values, lambda x: self.text(t, x))
@@ -234,7 +320,7 @@ class Compiler:
             return df, J.any_of(J.unwrapped(found), lambda e: ~J.is_null(e))
         if m.kind == "selector":
             variable, negated = m.value
-            return self._lists_meet(df, F.transform(found, J.canonical), variable, negated)
+            return self._lists_meet(df, F.transform(found, J.canonical), variable, negated, m.root == "relation")
         each = J.unwrapped(found)
         if m.kind == "text":
             return df, J.any_of(each, lambda e: self.text(m.value, J.text(e)))
@@ -311,12 +397,12 @@ class Compiler:
         unknown = (left.isNull() & (F.coalesce(F.col(f"{n}_c"), F.lit(0)) > 0)) | F.coalesce(F.col(f"{n}_g"), F.lit(False))
         return df, F.when(inside, False).when(unknown, None).otherwise(True)
 
-    def _lists_meet(self, df: DataFrame, values: Column, v: A.Variable, negated: bool) -> tuple[DataFrame, Column]:
+    def _lists_meet(self, df: DataFrame, values: Column, v: A.Variable, negated: bool, links: bool) -> tuple[DataFrame, Column]:
         """Whether any of the values is among the selector's: one row per (node, value), matched by an equi-join."""
         n = next(self.names)
         sel = self._selected(v)
         by = [k for k in self.keys if k in sel.columns]
-        each = self.base.select(*self.keys, F.col("id").alias("__id"), F.explode(values).alias("__v"))
+        each = self.base.rows(None, links).select(*self.keys, F.col("id").alias("__id"), F.explode(values).alias("__v"))
         has = sel.where("value IS NOT NULL").select(*[F.col(k).alias(f"__s_{k}") for k in by], F.col("value").alias("__sv")).distinct()
         cond = F.col("__v") == F.col("__sv")
         for k in by:
@@ -330,7 +416,8 @@ class Compiler:
 
     def selector_values(self, s: A.Selector, local: str = "work_id") -> DataFrame:
         """(local, value) of a selector over these nodes; values as text, JSON values in canonical form."""
-        df = self.base if s.where is None else self.select(s.where)
+        links = s.get in ("get_names", "get_relation_meta")
+        df = self.base.rows(None, links) if s.where is None else self.select(s.where, links)
         if s.get == "get_symbols":
             value = F.explode(symbols())
         elif s.get == "get_names":

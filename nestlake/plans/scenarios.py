@@ -118,7 +118,7 @@ def validate(s: Scenario) -> list[str]:
 
 def entries(store: Store) -> DataFrame:
     """(work_id, id, t): the first entry of each work."""
-    e = store.nodes.where("is_entry").groupBy("work_id").agg(F.min(F.struct("t", "id")).alias("e"))
+    e = store.source.rows(F.col("is_entry"), False).groupBy("work_id").agg(F.min(F.struct("t", "id")).alias("e"))
     return e.select("work_id", "e.id", F.col("e.t").cast("timestamp").alias("t"))
 
 
@@ -138,7 +138,7 @@ def evaluate(store: Store, scenarios: list[Scenario], works: DataFrame | None =
             hit = decide(store, parse_global(s.global_query), hit, all_entries)
         parts.append(hit.select("work_id", F.lit(s.name).alias("scenario"), (F.unix_micros("t") / 1e6).alias("ctime"), F.lit(s.action).alias("action")))
     if not parts:
-        return store.nodes.sparkSession.createDataFrame([], "work_id string, scenario string, ctime double, action string")
+        return store.source.objects.sparkSession.createDataFrame([], "work_id string, scenario string, ctime double, action string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

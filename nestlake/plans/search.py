@@ -7,27 +7,33 @@ from pyspark.sql import functions as F
 
 from nestlake.operators import hierarchy
 from nestlake.plans import ast as A
-from nestlake.plans.compiler import Compiler
+from nestlake.plans.compiler import Compiler, Nodes
 from nestlake.plans.parser import parse, parse_global
 
 DEFAULT_LIMIT = 1000
 
 
 class Store:
-    """Nodes of all works, with the ancestor pairs made once when a query first needs them."""
+    """Nodes of all works, as stored tables or as rows already joined; ancestor pairs are made once when a query first
+    needs them, and kept as long as the store. A store belongs to the state of its tables when it was made."""
 
-    def __init__(self, nodes: DataFrame, pattern_tag: str = "Pattern.", compat: bool = False) -> None:
-        self.nodes, self.tag, self.compat = nodes, pattern_tag, compat
+    def __init__(self, nodes: Nodes | DataFrame, pattern_tag: str = "Pattern.", compat: bool = False) -> None:
+        self.source = nodes if isinstance(nodes, Nodes) else Nodes(nodes)
+        self.tag, self.compat = pattern_tag, compat
         self._closure: DataFrame | None = None
 
+    @property
+    def nodes(self) -> DataFrame:
+        return self.source.rows()
+
     def closure(self) -> DataFrame:
         if self._closure is None:
-            f = hierarchy.build_forest(self.nodes.select(F.col("id").alias("node")), self.nodes.select("parent", F.col("id").alias("child")))
+            f = hierarchy.build_forest(self.source.objects.select(F.col("id").alias("node")), self.source.own_links().select("parent", "child"))
             self._closure = hierarchy.descendants(f).select(F.col("ancestor").alias("anc"), F.col("descendant").alias("desc"), F.col("distance").alias("depth"))
         return self._closure
 
     def compiler(self, q: A.Query, **more) -> Compiler:
-        return Compiler(more.pop("base", self.nodes), self.closure, q.variables, pattern_tag=self.tag, compat=self.compat, **more)
+        return Compiler(more.pop("base", self.source), self.closure, q.variables, pattern_tag=self.tag, compat=self.compat, **more)
 
     def matching(self, text: str) -> DataFrame:
         """All nodes that a query selects."""
@@ -51,7 +57,7 @@ class Store:
 
     def selectors(self, q: A.Query, locals_: DataFrame | None = None) -> dict[str, DataFrame]:
         """(local, value) of each selector of a query, over the local works only."""
-        base = self.nodes if locals_ is None else self.nodes.join(locals_.select(F.col("local").alias("work_id")).distinct(), "work_id", "left_semi")
+        base = self.source if locals_ is None else self.source.within(lambda x: x.join(locals_.select(F.col("local").alias("work_id")).distinct(), "work_id", "left_semi"))
         c = self.compiler(q, base=base)
         return {n: c.selector_values(v, "local") for n, v in q.variables.items() if isinstance(v, A.Selector)}
 
@@ -61,10 +67,10 @@ class Store:
         pairs = pairs.select("local", F.col("neighbour").alias("work_id")).distinct()
         has_selector = any(isinstance(v, A.Selector) for v in q.variables.values())
         if not has_selector:  # the answer does not depend on the local work: ask each neighbour once
-            base = self.nodes.join(pairs.select("work_id").distinct(), "work_id", "left_semi")
+            base = self.source.within(lambda x: x.join(pairs.select("work_id").distinct(), "work_id", "left_semi"))
             works = self.compiler(q, base=base).select(q.body).select("work_id").distinct()
             return pairs.join(works, "work_id").select("local", F.col("work_id").alias("neighbour"))
-        base = self.nodes.join(pairs, "work_id")
+        base = self.source.within(lambda x: x.join(pairs, "work_id"), "local")
         c = self.compiler(q, base=base, keys=("local", "work_id"), selectors=self.selectors(q, pairs))
         return c.select(q.body).select("local", F.col("work_id").alias("neighbour")).distinct()
 

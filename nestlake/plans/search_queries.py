@@ -7,19 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestlake.plans.compiler import names, nodes, symbols
+from nestlake.plans.compiler import Nodes, names, symbols
 from nestlake.plans.search import Store
-from nestlake.runtime import cut, table
-
-_stores: dict[tuple[int, str], Store] = {}
-
+from nestlake.runtime import table
 
 def store(spark: SparkSession, d: str) -> Store:
-    """Nodes of the stored tables, joined once per session and folder; later queries read the columns they need."""
-    key = (id(spark), d)
-    if key not in _stores:
-        _stores[key] = Store(cut(nodes(table(spark, d, "objects"), table(spark, d, "rels").select("parent", "child", "props"))))
-    return _stores[key]
+    """The stored tables as they are now; nothing is read before a query is planned."""
+    return Store(Nodes(table(spark, d, "objects"), table(spark, d, "rels").select("parent", "child", "props")))
 
 
 BASE = """
@@ -153,7 +147,7 @@ def relation_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_counts(spark: SparkSession, d: str) -> DataFrame:
-    return store(spark, d).nodes.select(F.explode(symbols()).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return store(spark, d).source.rows(None, False).select(F.explode(symbols()).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable] = {k: _case(q) for k, (q, _) in CASES.items()}

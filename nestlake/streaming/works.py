@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nestlake.operators.ingest import dissect
-from nestlake.plans.compiler import nodes
+from nestlake.plans.compiler import Nodes
 from nestlake.plans.scenarios import Scenario, evaluate
 from nestlake.plans.search import Store
 
@@ -35,7 +35,7 @@ def scenario_stream(completed: DataFrame, tables: Callable[[], tuple[DataFrame,
 
     def batch(df: DataFrame, n: int) -> None:
         objects, rels = tables()
-        fired = evaluate(Store(nodes(objects, rels)), scenarios(), df.select("work_id").distinct())
+        fired = evaluate(Store(Nodes(objects, rels)), scenarios(), df.select("work_id").distinct())
         fired.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return completed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -4,7 +4,7 @@ import pytest
 from depot import CASES, HEAD, NEIGHBOURS, grow, tables
 
 from nestlake.operators import hierarchy
-from nestlake.plans.compiler import nodes
+from nestlake.plans.compiler import Nodes, nodes
 from nestlake.plans.parser import QueryError, check, complete, parse, parse_global
 from nestlake.plans.patterns import identity, matches, parse_pattern
 from nestlake.plans.search import Store
@@ -44,6 +44,19 @@ def test_search_against_walk(store):
     assert len(idle) == 2, idle  # the two that are meant to select nothing
 
 
+def test_plan_of_a_scan(spark, tmp_path):
+    """A row condition reaches the scan, only the columns in use are read, and no link is joined."""
+    o, r = tables(FOREST)
+    spark.createDataFrame(o + o[:3], OBJECTS).write.parquet(f"{tmp_path}/o")
+    spark.createDataFrame(r, "parent long, child long, props string").write.parquet(f"{tmp_path}/r")
+    s = Store(Nodes(spark.read.parquet(f"{tmp_path}/o"), spark.read.parquet(f"{tmp_path}/r")))
+    plan = s.matching('object_type == "Zip" && size > 2000').select("id", "work_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "EqualTo(object_type,Zip)" in plan and "GreaterThan(size,2000)" in plan and "result" not in plan
+    assert "Join" in s.matching('@has_name("x") && size > 2000').select("id")._jdf.queryExecution().executedPlan().toString()
+    got = {x.object_id for x in s.matching('size > 2000 && (object_type == "Zip" && @count_children() > 0)').collect()}
+    assert got == {x.name for x in FOREST if x.kind == "Zip" and x.size > 2000 and x.kids}
+
+
 def test_neighbours_against_walk(spark, store):
     works = sorted({x.work for x in FOREST})
     pairs = spark.createDataFrame([(a, b) for a in works[:4] for b in works], "local string, neighbour string")
