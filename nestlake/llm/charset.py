@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 # Single-byte code pages that the damaged text may pass through.
@@ -103,14 +101,32 @@ def oddity(text: str) -> int:
     return int(np.isin(SYMBOL[points(text)], (ODD, LOST)).sum())
 
 
-#: First odd character of a text, if any: most texts are settled by this one scan.
-_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in np.nonzero(np.isin(SYMBOL, (ODD, LOST)))[0] if not 0xD800 <= c < 0xE000 and c > 127) + "]")
+_IS_ODD = np.isin(SYMBOL, (ODD, LOST))
+
+
+def readable_all(texts: list[str]) -> list[str]:
+    """readable() of each: one pass over the characters of many texts finds the few that need it."""
+    out, group, size = list(texts), [], 0
+    for k, t in enumerate(texts):
+        if not t.isascii():
+            group.append(k)
+            size += len(t)
+        if group and (size > 1_000_000 or k == len(texts) - 1):
+            odd = _IS_ODD[points("".join(texts[g] for g in group))]
+            ends = np.cumsum([len(texts[g]) for g in group])
+            n = np.diff(np.concatenate([[0], np.cumsum(odd)])[np.concatenate([[0], ends])])
+            for g, o in zip(group, n, strict=True):
+                if o and o * 200 >= len(texts[g]):
+                    out[g] = readable(texts[g])
+            group, size = [], 0
+    return out
 
 
 def readable(text: str) -> str:
     """Quick repair for readers that only need the letters: paragraph by paragraph the one inverse with fewest odd
     characters, if the paragraph is full of them."""
-    if text.isascii() or not _ODD.search(text) or oddity(text) * 200 < len(text):
+    odd = 0 if text.isascii() else oddity(text)
+    if not odd or odd * 200 < len(text):
         return text
     out = []
     for part in text.split("\n\n"):

@@ -11,6 +11,10 @@ from nestlake.llm import langid
 from nestlake.runtime import table
 
 
+#: The languages of these tables.
+LANGUAGES = ["de", "en", "es", "fr", "it", "pl", "ru"]
+
+
 @F.pandas_udf(T.StringType())
 def _named(label: pd.Series) -> pd.Series:
     known = {x: langid.named(x) for x in label.dropna().unique()}
@@ -20,7 +24,7 @@ def _named(label: pd.Series) -> pd.Series:
 def p6_labels(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every document, or of every paragraph of a mixed one."""
     docs = table(spark, d, "documents")
-    return langid.label_documents(docs, langid.train(docs.select("text", "lang")))
+    return langid.label_documents(docs, langid.train(docs.select("text", "lang"), LANGUAGES))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

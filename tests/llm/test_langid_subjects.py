@@ -9,7 +9,7 @@ from nestlake.llm import subjects as S
 BASE = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize(("label", "code"), [("en-GB", "en"), ("ENGLISH", "en"), ("de_AT", "de"), ("rus", "ru"), ("", None), (None, None), ("und", None), ("??", None), (float("nan"), None), ("pt", None)])
+@pytest.mark.parametrize(("label", "code"), [("en-GB", "en"), ("ENGLISH", "en"), ("de_AT", "de"), ("rus", "ru"), ("", None), (None, None), ("und", None), ("??", None), (float("nan"), None), ("pt-BR", "pt"), ("Dutch", "nl"), ("xx", None)])
 def test_names(label, code):
     assert L.named(label) == code
 
@@ -47,9 +47,52 @@ def test_edges(spark, profiles):
     assert L.label_documents(df, empty).count() == 0
 
 
-def test_out_of_place_distance():
-    p = L.Profiles(["x", "y"], np.array([1, 2, 3]), np.array([[0, 400], [1, 0], [400, 1]], np.int32))
-    assert p.distances("").tolist() == [1, 1]
+def plain_distances(text, top):
+    """Out-of-place distances by the book: top is language -> list of n-grams in order of frequency."""
+    words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+    count: dict = {}
+    for w in words:
+        padded = f" {w} "
+        grams = list(w) + [padded[k:k + 2] for k in range(len(padded) - 1)] + [padded[k:k + 3] for k in range(len(padded) - 2)]
+        for g in grams:
+            count[g] = count.get(g, 0) + 1
+    return count, {x: {g: r for r, g in enumerate(gs)} for x, gs in top.items()}
+
+
+def test_distances_against_plain_python():
+    """Profiles of two made languages in two scripts; the vectorised distances against dictionaries."""
+    code = lambda g: sum((L.ABSENT if len(g) < 3 - k else 0 if g[k - 3 + len(g)] == " " else int(L._LETTER[ord(g[k - 3 + len(g)])])) << (2 - k) * L.BITS for k in range(3))
+    top = {"aa": ["a", "an", " a", "b", "ban", "an ", "n"], "el": ["α", "β", "αβ", " α", "αβγ", "γ "]}
+    rows = [(x, code(g), r) for x, gs in top.items() for r, g in enumerate(gs)]
+    p = L.profiles_of([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    texts = ["Banana ban, an ABBA", "αβγ αβγ αβ a", "zzz qq", "", "12 !?", "an αβγ" * 300]
+    got = p.distances(texts)
+    for t, d in zip(texts, got, strict=True):
+        count, ranks = plain_distances(t, top)
+        groups: dict = {}
+        for g, n in count.items():  # equally frequent n-grams may stand in any order: take the span of their places
+            groups.setdefault(n, []).append(g)
+        lo, hi, at = np.zeros(2), np.zeros(2), 0
+        for n in sorted(groups, reverse=True):
+            for g in groups[n]:
+                for k, x in enumerate(p.languages):
+                    r = ranks[x].get(g)
+                    offs = [abs(r - q) for q in range(at, at + len(groups[n]))] if r is not None else [L.PROFILE_SIZE]
+                    lo[k] += min(offs)
+                    hi[k] += max(offs)
+            at += len(groups[n])
+        want = (np.ones(2), np.ones(2)) if not count else (lo / (L.PROFILE_SIZE * len(count)), hi / (L.PROFILE_SIZE * len(count)))
+        assert (d >= want[0] - 1e-9).all() and (d <= want[1] + 1e-9).all(), t
+
+
+def test_an_eighth_language_is_learnt(spark):
+    words = {"nl": "het is een oude vergadering van de gemeente over wegen", "el": "η επιτροπή συζητά το σχέδιο για τους δρόμους της πόλης"}
+    rng = random.Random(0)
+    docs = [(i, " ".join(rng.choices(words[x].split(), k=40)), x if i % 3 else None) for i, x in enumerate(["nl", "el"] * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    p = L.train(df)
+    assert p.languages == ["el", "nl"] and {r.doc_id: r.lang for r in L.label_documents(df, p).collect()} == {i: ("nl", "el")[i % 2] for i in range(60)}
+    assert L.train(df, ["nl"]).languages == ["nl"]
 
 
 WORDS = {"law": ["court", "judge", "appeal", "statute"], "sport": ["match", "coach", "league", "goal"], "travel": ["hotel", "ticket", "luggage", "museum"]}
