@@ -10,11 +10,10 @@ from nestlake.runtime import table
 
 
 def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
-    """Subjects of every document with the share of its sentences."""
+    """Subjects of every document with their probability and the expected share of its sentences."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
     names = sorted(r[0] for r in table(spark, d, "subjects").where("subject IS NOT NULL").select("subject").distinct().collect())  # a fixed small table
-    model = S.train(docs, table(spark, d, "subject_labels"), names)
-    return S.label_documents(docs, model)
+    return S.label_documents(docs, table(spark, d, "subject_labels"), names)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -116,14 +116,18 @@ def test_subjects_held_out(spark):
     rng = random.Random(2)
     labelled = [(i, s) for i in range(120) for s in truth[i]] + [(i, rng.choice(sorted(WORDS))) for i in range(5)] + [(1, "nonsense"), (None, "law"), (99999, "law")]
     df = spark.createDataFrame(docs + [(1000, None, None, None), (1001, "", "a", "en")], "doc_id long, text string, source string, lang string")
-    m = S.train(df, spark.createDataFrame(labelled, "doc_id long, subject string"), sorted(WORDS))
+    labels = spark.createDataFrame(labelled, "doc_id long, subject string")
     got: dict = {}
-    for r in S.label_documents(df, m).collect():
+    for r in S.label_documents(df, labels, sorted(WORDS)).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     test = range(120, 400)
     right = sum(len(got.get(i, set()) & truth[i]) for i in test)
     assert right / sum(len(got.get(i, set())) for i in test) > 0.93 and right / sum(len(truth[i]) for i in test) > 0.93
     assert 1000 not in got and 1001 not in got
+    joined: dict = {}  # with most terms joined instead of broadcast
+    for r in S.label_documents(df, labels, sorted(WORDS), size=3).collect():
+        joined.setdefault(r.doc_id, set()).add(r.subject)
+    assert joined == got
 
 
 def test_learning_recovers_accuracies():
@@ -134,3 +138,26 @@ def test_learning_recovers_accuracies():
     patterns, counts = np.unique(np.stack([vote(0.9), vote(0.7), vote(0.0), vote(0.0)], 1), axis=0, return_counts=True)
     prior, confusion = S.learn(patterns, counts.astype(float), k)
     assert abs(prior[0] - 0.3) < 0.05 and confusion[0][0, 0] > 0.85 and 0.65 < confusion[1][0, 0] < 0.85
+
+
+def test_sentences_against_plain_python():
+    """Words, sentences and paragraphs of a batch against a splitter of one text."""
+    import re
+
+    from nestlake.llm import sentences as T
+
+    texts = ["The court ruled. It was late, it was.\n\nNext   part: court 12 ok!\n \n• one item here • two more items", "", "a bb", "Ünïted «Straße». Nächster Satz: straße Straße.", "see https://court.example/law now and then. Well then.", "x" * 70_000 + " long word"] * 3
+    got = T.split(texts)
+    want = []
+    for k, t in enumerate(texts):
+        for par in re.split(r"\n\s*\n", re.sub(r"https?://\S+", " ", t).lower()):
+            for s in re.split(r"(?<=[.!?…])[\"”“»]?\s+|•", par):
+                words = re.findall(r"[^\W\d_]{3,}", s)
+                if len(words) >= 2:
+                    want.append((k, list(dict.fromkeys(words))))
+    assert got.text.tolist() == [k for k, _ in want] and got.sizes.tolist() == [len(w) for _, w in want]
+    known: dict = {}
+    for h, w in zip(got.words.tolist(), [w for _, ws in want for w in ws], strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    assert len(set(zip(got.text.tolist(), got.paragraph.tolist()))) == len(set(got.paragraph.tolist()))
