@@ -170,7 +170,9 @@ class Model:
 
 def _distinct_sums(group: np.ndarray, row: np.ndarray, odds: np.ndarray, n: int) -> np.ndarray:
     """Sum of the rows of each group, every row once in it; groups ascend, rows of zeros may be skipped."""
-    key = np.unique((group * len(odds) + row)[row < len(odds) - 1])
+    known = row < len(odds) - 1
+    key = np.sort(group[known] * len(odds) + row[known])
+    key = key[np.diff(key, prepend=-1) != 0]
     g, out = key // len(odds), np.zeros((n, odds.shape[1]))
     if len(key):
         first = np.flatnonzero(np.diff(g, prepend=-1))
