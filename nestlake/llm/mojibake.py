@@ -341,19 +341,19 @@ def _likely(text: str, lp: np.ndarray) -> float:
 
 def block_states(line: str, lp: np.ndarray) -> str | None:
     """The line under the block encoding that makes it likely, if one beats the line as it stands by far."""
-    cp = C.points(line)
-    high = (cp > 127).mean() if len(cp) else 0
-    tries = []
-    if _INTERLEAVED.search(line):
+    tries: list[str | None] = []
+    if ("\x00" in line or "\uf2b3" in line) and _INTERLEAVED.search(line):
         raw = C.TO_BYTE["cp1252"][C.points(line.replace("\uf2b3", "\x00"))]
         if (raw >= 0).all():
             raw = raw.astype(np.uint8).tobytes() + b"\x00" * (len(raw) % 2)
             tries += [raw.decode(c, "replace") for c in ("utf_16_le", "utf_16_be")]
-    if high < 0.3:
-        return _best(line, tries, lp)
-    if ((cp & 0xFF) <= 4).mean() > 0.3:  # Latin, Central European and Cyrillic letters with their bytes swapped
+    if len(line) - len(line.encode("ascii", "ignore")) < 0.3 * len(line):  # most lines end here, without an array
+        return _best(line, tries, lp) if tries else None
+    cp = C.points(line)
+    share = lambda x: np.count_nonzero(x) / len(cp)
+    if share((cp & 0xFF) <= 4) > 0.3:  # Latin, Central European and Cyrillic letters with their bytes swapped
         tries.append("".join(map(chr, (cp >> 8) | ((cp & 0xFF) << 8))))
-    if (((cp >= 0x3000) & (cp < 0xA000)) | ((cp >= 0xFF61) & (cp <= 0xFF9F))).mean() > 0.3:
+    if cp.max() >= 0x3000 and share(((cp >= 0x3000) & (cp < 0xA000)) | ((cp >= 0xFF61) & (cp <= 0xFF9F))) > 0.3:
         for wrong, trues in (("cp932", ("utf_8",)), ("gbk", ("utf_8", "cp1252", "cp1251", "cp1250")), ("utf_16_le", ("utf_8", "cp1252"))):
             try:
                 raw = line.replace("\ufffd", "").encode(wrong)
@@ -361,11 +361,21 @@ def block_states(line: str, lp: np.ndarray) -> str | None:
                 continue
             tries += [raw.decode(t, "replace") for t in trues]
     else:
-        east = [C.invert(line, t, w) for w in ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250") for t in ("cp932", "euc_jp")]
-        tries += [y for y in east if y and not _MIXED.search(y)]
+        for wrong in ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250"):
+            raw = C.TO_BYTE[wrong][cp]
+            if raw.min() >= 0:
+                raw = raw.astype(np.uint8).tobytes()
+                tries += [y for t in ("cp932", "euc_jp") if (y := _strictly(raw, t)) and not _MIXED.search(y)]
     return _best(line, tries, lp)
 
 
+def _strictly(raw: bytes, encoding: str) -> str | None:
+    try:
+        return raw.decode(encoding)
+    except UnicodeError:
+        return None
+
+
 #: East Asian characters that touch Latin or Cyrillic letters, and half-width ones, show a wrong reading.
 _MIXED = re.compile("[A-Za-z\u00c0-\u04ff][\u3040-\u9fff]|[\u3040-\u9fff][A-Za-z\u00c0-\u04ff]|[\uff61-\uff9f\ue000-\uf8ff\uac00-\ud7a3]")
 
