@@ -99,8 +99,9 @@ def zipped(i: int, t: str) -> bytes:
 
 
 def ingest_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of each work by level and type, after dissection of every document in an archive in an archive."""
     objects, _ = dissect(_submit(spark, d, zipped))
-    return objects.select("work_id", "id", "object_type", "recursion_level", "is_entry")
+    return objects.groupBy("work_id", "recursion_level", "object_type", "is_entry").agg(F.count(F.lit(1)).alias("n"))
 
 
 def html_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +128,15 @@ SQL = {
 x AS (SELECT doc_id, i, CAST(d[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 2 ELSE 1 END AS v FROM (SELECT *, unnest(range(1, 17)) AS i FROM k))
 SELECT doc_id FROM x GROUP BY doc_id HAVING sum(CASE WHEN v > 9 THEN v - 9 ELSE v END) % 10 = 0""",
     "content_hashes": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
+    "content_entropy": """WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, x[2 * i - 1:2 * i] AS b FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 + 1)) AS i FROM h)),
+c AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY doc_id, b), e AS (SELECT doc_id, -sum(n / t * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id)
+SELECT h.doc_id, round(coalesce(e + 0.0, 0), 6) AS entropy, CASE WHEN x = '' THEN 'EMPTY' ELSE 'Text' END AS kind FROM h LEFT JOIN e ON e.doc_id = h.doc_id""",
+    "ingest_tree": f"""WITH x AS (SELECT 'w' || doc_id AS work_id, text FROM documents WHERE text IS NOT NULL),
+k AS (SELECT unnest([{{'recursion_level': 1, 'object_type': 'ZIP', 'n': 1}}, {{'recursion_level': 2, 'object_type': 'HTML', 'n': 1}}, {{'recursion_level': 2, 'object_type': 'TAR', 'n': 1}},
+  {{'recursion_level': 3, 'object_type': 'Domain', 'n': 2}}, {{'recursion_level': 3, 'object_type': 'Text', 'n': 2}}]) AS k),
+h AS (SELECT DISTINCT work_id, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM (SELECT work_id, unnest({_U}) AS u FROM x))
+SELECT work_id, k.recursion_level, k.object_type, k.recursion_level = 1 AS is_entry, CAST(k.n AS BIGINT) AS n FROM x, k
+UNION ALL SELECT work_id, 4, 'Domain', false, 2 * count(*) FROM h WHERE contains(host, '.') AND NOT regexp_full_match(host, '[0-9.]+') GROUP BY work_id""",
     "html_domains": """WITH x AS (SELECT doc_id FROM documents WHERE text IS NOT NULL)
 SELECT 'w' || doc_id AS work_id, 'h' || (doc_id % 7) || '.example.org' AS domain FROM x UNION ALL SELECT 'w' || doc_id, 'img.example.net' FROM x""",
 }

@@ -76,26 +76,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plain(t: DataFrame) -> DataFrame:
-    """Members of any type as JSON text, which every sink can hold."""
-    return t.select(*[F.to_json(c).alias(c) if kind == "variant" else c for c, kind in t.dtypes])
+    """Members of any type as JSON text and lists as text with commas, which every sink can hold."""
+    return t.select(*[F.to_json(c).alias(c) if kind == "variant" else F.array_join(c, ",").alias(c) if kind.startswith("array") else c for c, kind in t.dtypes])
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return N.flatten(_records(spark, d), LNK, "lnk_id", "result")
 
 
 def _supertype(flat: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _plain(N.supertype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", flat))
+    return lambda spark, d: _plain(N.supertype_table(_rows(spark, d), LNK, "lnk_id", flat).drop("members"))
 
 
 def _subtype(flat: str, variant: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _plain(N.subtype_table(N.flatten(_records(spark, d), LNK, "lnk_id", "result"), LNK, "lnk_id", flat, variant))
+    return lambda spark, d: _plain(N.subtype_table(_rows(spark, d), LNK, "lnk_id", flat, variant))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every nested object whole, with the members that no flat table names."""
+    return _plain(_rows(spark, d).select("lnk_id", "flat", "i", "j", "k", "variant", F.col("node").alias("members")))
 
 
-def p4_trackers(spark: SparkSession, d: str) -> DataFrame:
-    return _subtype("extra_block", "TrackerDataBlock")(spark, d).withColumn("droid", F.concat_ws(",", "droid"))
+p4_trackers = _subtype("extra_block", "TrackerDataBlock")
 
 
 #: One query for each flat table: all variants of a state, then the typed members of each variant.
 _SUPERTYPES = {"p4_links": "link_info", "p4_volumes": "volume_id", "p4_networks": "network_link", "p4_shell_items": "shell_item",
                "p4_extra_blocks": "extra_block", "p4_property_storages": "property_storage", "p4_property_values": "property_value"}
-QUERIES = {"p4_found": p4_found, "p4_trackers": p4_trackers} | {q: _supertype(flat) for q, flat in _SUPERTYPES.items()} | {
+QUERIES = {"p4_found": p4_found, "p4_trackers": p4_trackers, "p4_members": p4_members} | {q: _supertype(flat) for q, flat in _SUPERTYPES.items()} | {
     f"p4_{flat}_{variant}".lower(): _subtype(flat, variant) for flat, variant in LNK.typed if variant != "TrackerDataBlock"}
 
 
@@ -139,9 +147,48 @@ UNION SELECT lnk_id, 'shell_item', i, -1, -1 FROM si WHERE {_o("o")} IS NOT NULL
 UNION SELECT lnk_id, 'extra_block', i, -1, -1 FROM xo WHERE o IS NOT NULL
 UNION SELECT lnk_id, 'property_storage', i, j, -1 FROM po WHERE o IS NOT NULL
 UNION SELECT lnk_id, 'property_value', i, j, k FROM vx WHERE {_o("x")} IS NOT NULL)""",
-    "p4_trackers": _BASE + f"""
-SELECT lnk_id, CAST(i AS INTEGER) AS i, CAST(-1 AS INTEGER) AS j, CAST(-1 AS INTEGER) AS k, CAST(t->'$.block_size' AS BIGINT) AS block_size,
-  CAST(t->'$.block_signature' AS BIGINT) AS block_signature, t->>'$.machine_id' AS machine_id,
-  array_to_string(CAST(t->'$.droid' AS VARCHAR[]), ',') AS droid
-FROM (SELECT lnk_id, i, {_o("o->'$.TrackerDataBlock'")} AS t FROM xo) WHERE t IS NOT NULL""",
 }
+
+#: Rows of each flat table: positions, parent, object.
+_OF = {
+    "link_info": "SELECT lnk_id, -1 AS i, -1 AS j, -1 AS k, 'record' AS pf, -1 AS pi, -1 AS pj, -1 AS pk, o FROM li",
+    "volume_id": f"""SELECT lnk_id, -1 AS i, -1 AS j, -1 AS k, 'link_info' AS pf, -1 AS pi, -1 AS pj, -1 AS pk, {_o("o->'$.volume_id'")} AS o FROM li""",
+    "network_link": f"""SELECT lnk_id, -1 AS i, -1 AS j, -1 AS k, 'link_info' AS pf, -1 AS pi, -1 AS pj, -1 AS pk, {_o("o->'$.common_network_relative_link'")} AS o FROM li""",
+    "shell_item": f"SELECT lnk_id, i, -1 AS j, -1 AS k, 'record' AS pf, -1 AS pi, -1 AS pj, -1 AS pk, {_o('o')} AS o FROM si",
+    "extra_block": "SELECT lnk_id, i, -1 AS j, -1 AS k, 'record' AS pf, -1 AS pi, -1 AS pj, -1 AS pk, o FROM xo",
+    "property_storage": "SELECT lnk_id, i, j, -1 AS k, 'extra_block' AS pf, i AS pi, -1 AS pj, -1 AS pk, o FROM po",
+    "property_value": f"SELECT lnk_id, i, j, k, 'property_storage' AS pf, i AS pi, j AS pj, -1 AS pk, {_o('x')} AS o FROM vx",
+}
+_KIND = {"object": lambda x: _o(x) + " IS NOT NULL", "array": lambda x: f"json_type({x}) = 'ARRAY'", "any": lambda x: f"coalesce(json_type({x}), 'NULL') <> 'NULL'",
+         "text": lambda x: f"coalesce(json_type({x}), 'NULL') NOT IN ('NULL', 'OBJECT', 'ARRAY')"}
+_SQL_TYPES = {"bigint": lambda x: f"TRY_CAST({x[0]}->>'{x[1]}' AS BIGINT)", "string": lambda x: f"{x[0]}->>'{x[1]}'",
+              "array<string>": lambda x: f"array_to_string(CAST({x[0]}->'{x[1]}' AS VARCHAR[]), ',')", "array<bigint>": lambda x: f"array_to_string(CAST({x[0]}->'{x[1]}' AS VARCHAR[]), ',')"}
+
+
+def _variant(flat: str) -> str:
+    out = "CASE"
+    for rule in LNK.rules[flat]:
+        tests = [_KIND[kind](f"o->'$.{m}'") for m, kind in rule.has.items()] + ([f"len(json_keys(o)) = {len(rule.has)}"] if rule.exact else [])
+        out += f" WHEN {' AND '.join(tests)} THEN '{rule.variant}'"
+    return out + " ELSE 'other' END"
+
+
+def _columns(node: str, members: dict[str, str]) -> str:
+    return "".join(f", {_SQL_TYPES[t]((node, '$.' + m))} AS {m}" for m, t in members.items())
+
+
+def _inner(flat: str) -> str:
+    """The object that holds the common members: the wrapped one, if there is any."""
+    wraps = [p[0] for (f, _), (p, _) in LNK.typed.items() if f == flat and p]
+    return "coalesce(" + ", ".join([_o(f"o->'$.{w}'") for w in wraps] + ["o"]) + ")" if wraps else "o"
+
+
+def _table(flat: str, more: str, where: str = "true") -> str:
+    at = "".join(f"CAST({x} AS INTEGER) AS {x}, " for x in "ijk")
+    return _BASE + f", t AS ({_OF[flat]}), v AS (SELECT *, {_variant(flat)} AS variant, {_inner(flat)} AS n FROM t WHERE o IS NOT NULL) SELECT DISTINCT lnk_id, {at[:-2]}{more} FROM v WHERE {where}"
+
+
+SQL |= {q: _table(flat, ", pf AS parent_flat, CAST(pi AS INTEGER) AS parent_i, CAST(pj AS INTEGER) AS parent_j, CAST(pk AS INTEGER) AS parent_k, variant" + _columns("n", LNK.common[flat]))
+        for q, flat in _SUPERTYPES.items() if not any(t.startswith("array") for t in LNK.common[flat].values()) or flat == "link_info"}
+SQL |= {("p4_trackers" if variant == "TrackerDataBlock" else f"p4_{flat}_{variant}".lower()): _table(flat, _columns(_o(f"o->'$.{path[0]}'") if path else "o", members), f"variant = '{variant}'")
+        for (flat, variant), (path, members) in LNK.typed.items() if "variant" not in members.values()}
