@@ -84,26 +84,23 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return N.flatten(_records(spark, d), LNK, "lnk_id", "result")
 
 
-def _supertype(flat: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _plain(N.supertype_table(_rows(spark, d), LNK, "lnk_id", flat).drop("members"))
+def _supertype(flat: str, *without: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _plain(N.supertype_table(_rows(spark, d), LNK, "lnk_id", flat).drop(*without))
 
 
 def _subtype(flat: str, variant: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _plain(N.subtype_table(_rows(spark, d), LNK, "lnk_id", flat, variant))
 
 
-def p4_members(spark: SparkSession, d: str) -> DataFrame:
-    """Every nested object whole, with the members that no flat table names."""
-    return _plain(_rows(spark, d).select("lnk_id", "flat", "i", "j", "k", "variant", F.col("node").alias("members")))
-
-
 p4_trackers = _subtype("extra_block", "TrackerDataBlock")
 
 
-#: One query for each flat table: all variants of a state, then the typed members of each variant.
+#: One query for each flat table: all variants of a state, with the object whole and with its columns only (whose values
+#: SQL can state), then the typed members of each variant.
 _SUPERTYPES = {"p4_links": "link_info", "p4_volumes": "volume_id", "p4_networks": "network_link", "p4_shell_items": "shell_item",
                "p4_extra_blocks": "extra_block", "p4_property_storages": "property_storage", "p4_property_values": "property_value"}
-QUERIES = {"p4_found": p4_found, "p4_trackers": p4_trackers, "p4_members": p4_members} | {q: _supertype(flat) for q, flat in _SUPERTYPES.items()} | {
+QUERIES = {"p4_found": p4_found, "p4_trackers": p4_trackers} | {q: _supertype(flat) for q, flat in _SUPERTYPES.items()} | {
+    f"{q}_columns": _supertype(flat, "members") for q, flat in _SUPERTYPES.items()} | {
     f"p4_{flat}_{variant}".lower(): _subtype(flat, variant) for flat, variant in LNK.typed if variant != "TrackerDataBlock"}
 
 
@@ -188,7 +185,7 @@ def _table(flat: str, more: str, where: str = "true") -> str:
     return _BASE + f", t AS ({_OF[flat]}), v AS (SELECT *, {_variant(flat)} AS variant, {_inner(flat)} AS n FROM t WHERE o IS NOT NULL) SELECT DISTINCT lnk_id, {at[:-2]}{more} FROM v WHERE {where}"
 
 
-SQL |= {q: _table(flat, ", pf AS parent_flat, CAST(pi AS INTEGER) AS parent_i, CAST(pj AS INTEGER) AS parent_j, CAST(pk AS INTEGER) AS parent_k, variant" + _columns("n", LNK.common[flat]))
-        for q, flat in _SUPERTYPES.items() if not any(t.startswith("array") for t in LNK.common[flat].values()) or flat == "link_info"}
+SQL |= {f"{q}_columns": _table(flat, ", pf AS parent_flat, CAST(pi AS INTEGER) AS parent_i, CAST(pj AS INTEGER) AS parent_j, CAST(pk AS INTEGER) AS parent_k, variant" + _columns("n", LNK.common[flat]))
+        for q, flat in _SUPERTYPES.items()}
 SQL |= {("p4_trackers" if variant == "TrackerDataBlock" else f"p4_{flat}_{variant}".lower()): _table(flat, _columns(_o(f"o->'$.{path[0]}'") if path else "o", members), f"variant = '{variant}'")
         for (flat, variant), (path, members) in LNK.typed.items() if "variant" not in members.values()}
