@@ -104,4 +104,4 @@ def test_flat_tables_hold_all_members(spark, tmp_path):
     (v,) = rows["p4_volumes"]
     assert v.volume_label_unicode == "Łódź" and json.loads(v.members) == volume
     assert json.loads(rows["p4_property_value_stringname"][0].value) == {"x": 1}
-    assert len(QUERIES) == 1 + len({e.target for e in LNK.edges}) + len(LNK.typed)  # p4_found, all states, all typed variants
+    assert len(QUERIES) == 1 + 2 * len({e.target for e in LNK.edges}) + len(LNK.typed)  # p4_found, all states whole and by columns, all typed variants
