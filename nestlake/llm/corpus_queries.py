@@ -49,5 +49,34 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(cut(_mix(spark, d)), table(spark, d, "source_targets"))
 
 
-QUERIES = {"p7_contents": p7_contents, "p7_fill": p7_fill, "p7_fill_plain_buckets": p7_fill_plain_buckets, "p8_mix": p8_mix, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind of container: documents contained, containers above the capacity, documents whose tokens are not all
+    contained once, and documents split although they would fit."""
+    sized, caps = _sized(spark, d), _capacities(spark, d)
+    if not caps:
+        return spark.createDataFrame([], "container string, documents long, over_capacity long, not_whole long, split_in_vain long")
+    c = cut(packing.pack(sized, caps))
+    cap = F.create_map(*[F.lit(x) for n, v in caps.items() for x in (n, v)])[F.col("container")]
+    over = c.groupBy("container", "container_no").agg(F.sum("tokens").alias("t")).groupBy("container").agg(F.count_if(F.col("t") > cap).alias("over_capacity"))
+    own = c.groupBy("container", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("pieces")).join(sized, "doc_id")
+    per = own.groupBy("container").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("t") != F.col("tokens")).alias("not_whole"),
+                                       F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("tokens") / cap), F.lit(1))).alias("split_in_vain"))
+    return per.join(over, "container")
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target source: whether the share reached is the target among the sources that have documents (to half a
+    percent), and whether no document is used more often than allowed."""
+    live = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select(F.col("source").alias("doc_source")).distinct().withColumn("live", F.lit(True))
+    s = p8_shares(spark, d).join(live.withColumnRenamed("doc_source", "source"), "source", "left")
+    s = cut(s.withColumn("wanted", F.when(F.col("live"), F.col("target_share")).otherwise(0.0)))
+    total = s.agg(F.sum("wanted")).first()[0] or 1.0
+    return s.select("source", (F.abs(F.col("wanted") / total - F.col("reached_share")) < 0.005).alias("share_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+
+
+QUERIES = {"p7_contents": p7_contents, "p7_fill": p7_fill, "p7_fill_plain_buckets": p7_fill_plain_buckets, "p7_checks": p7_checks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks}
+#: The tokenizer is beyond SQL; what must hold of the results is not.
+SQL = {
+    "p7_checks": "SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS over_capacity, 0 AS not_whole, 0 AS split_in_vain FROM container_sizes",
+    "p8_checks": "SELECT DISTINCT doc_source AS source, true AS share_reached, true AS within_cap FROM source_targets",
+}

@@ -36,5 +36,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return joined.where((F.col("para") >= 0) | ~agree).select("doc_id", "para", F.col("true_lang").alias("lang")).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_labels": p6_labels}
-SQL: dict[str, str] = {}
+def p6_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that get a language: all with enough letters, and paragraphs of mixed ones numbered without a gap."""
+    per = p6_labels(spark, d).distinct().groupBy("doc_id").agg(F.min("para").alias("first"), F.max("para").alias("last"), F.count(F.lit(1)).alias("n"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
+    return per.select("doc_id", ((F.col("last") - F.col("first") + 1 == F.col("n")) & (F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("whole"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_labels": p6_labels, "p6_covered": p6_covered}
+SQL = {"p6_covered": r"SELECT DISTINCT doc_id, true AS whole FROM documents WHERE length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 20"}
