@@ -314,19 +314,6 @@ def iso9660(job: Job) -> Result:
     return Result(meta, symbols + out.symbols, out.children)
 
 
-@processor("7Z", "7z")
-def sevenzip(job: Job) -> Result:
-    """Header only: packed streams need a library that this build has not."""
-    r = Reader(job.content)
-    if r.bytes(6) != b"7z\xbc\xaf\x27\x1c":
-        raise Malformed("no 7z header")
-    major, minor, crc, offset, size, header_crc = r.get("BBIQQI")
-    header = job.content[32 + offset:32 + offset + size]
-    if len(header) != size or zlib.crc32(header) != header_crc:
-        raise Malformed("damaged header")
-    return Result({"version": f"{major}.{minor}", "header_size": size, "encoded_header": header[:1] == b"\x17"}, ["UNSUPPORTED"])
-
-
 @processor("RAR", "Rar")
 def unrar(job: Job) -> Result:
     """Blocks of RAR 4 archives; only stored entries are taken out."""
