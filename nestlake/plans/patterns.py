@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 _SPLIT = re.compile(r"\*|\{\d*-\d*\}|\[\d+-\d+\]")
 _ITEM = re.compile(r"(?P<byte>[0-9a-f?]{2})|\{(?P<skip>\d+)\}|(?P<neg>!?)\((?P<alt>[^()]*)\)")
@@ -78,7 +79,34 @@ def identity(text: str, offset: str = "*") -> str:
 
 
 def matches(content: bytes, text: str, offset: str = "*") -> bool:
-    rx = re.compile(parse_pattern(text).encode("latin-1"), re.S)
+    return _found(content, re.compile(parse_pattern(text).encode("latin-1"), re.S), offset)
+
+
+class Scanner:
+    """Looks for many patterns in a content. A pattern's longest run of static bytes is looked for first, which settles
+    most of them without its expression."""
+
+    def __init__(self, tags: dict[str, tuple[str, str]]) -> None:
+        """tags: tag -> (pattern, offset)."""
+        self.tags = [(t, re.compile(parse_pattern(p).encode("latin-1"), re.S), o, _static(p)) for t, (p, o) in sorted(tags.items())]
+
+    def tags_of(self, content: bytes) -> list[str]:
+        return [t for t, rx, offset, static in self.tags if static in content and _found(content, rx, offset)]
+
+
+def tags(patterns: Iterable[tuple[str, str]], prefix: str = "Pattern.") -> dict[str, tuple[str, str]]:
+    """The tags by which queries know patterns (text, offset)."""
+    return {prefix + identity(p, o): (p, o) for p, o in patterns}
+
+
+def _static(pattern: str) -> bytes:
+    """Longest run of plain bytes that every match holds."""
+    bare = re.sub(r"!?\([^()]*\)|\{[^}]*\}|\[[^\]]*\]|\*", " ", pattern)
+    runs = [w for part in bare.split() for w in re.findall(r"(?:[0-9a-f]{2})+", re.sub(r"(..)", lambda m: "  " if "?" in m[1] else m[1], part))]
+    return bytes.fromhex(max(runs, key=len, default=""))
+
+
+def _found(content: bytes, rx: re.Pattern, offset: str) -> bool:
     if offset == "*":
         return rx.search(content) is not None
     at = len(content) - int(offset[4:]) if offset.startswith("EOF-") else int(offset)

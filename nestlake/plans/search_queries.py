@@ -82,7 +82,7 @@ CASES: dict[str, tuple[str, str]] = {
     "match_meta_starts_with": ('@match_object_meta($_backend_version starts_with("1.7"))', f"starts_with({_VER}, '1.7')"),
     "match_meta_in": ('@match_object_meta($_backend_version in ("1.6.0", starts_with("1.2")))', f"{_VER} = '1.6.0' OR starts_with({_VER}, '1.2')"),
     "match_meta_len": ("@match_object_meta($_backend_version.len() == 5)", f"length({_VER}) = 5"),
-    "match_meta_path_path": ("@match_object_meta($_perf == $_backend_version)", "false"),
+    "match_meta_path_path": ("@match_object_meta($_perf >= $_perf) && not @match_object_meta($_perf == $_backend_version)", f"{_PERF} >= {_PERF}"),
     "has_relation_meta": ("@has_relation_meta($names)", "len(CAST((p->'$.names') AS JSON[])) > 0"),
     "match_relation_meta": ("@match_relation_meta($index > 10)", "CAST(p->>'$.index' AS INTEGER) > 10"),
     "match_relation_meta_ne": ("@match_relation_meta($index != 3)", "coalesce(CAST(p->>'$.index' AS INTEGER), -1) <> 3"),
@@ -114,10 +114,6 @@ def _case(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: store(spark, d).matching(text).select("id", "work_id")
 
 
-def match_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return store(spark, d).matching("@match_pattern(deadbeef) || @match_pattern(*:504b0304)").select("id", "work_id")
-
-
 def search_works_distinct(spark: SparkSession, d: str) -> DataFrame:
     return store(spark, d).search_works('object_type == "PE"')
 
@@ -151,11 +147,10 @@ def symbol_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {k: _case(q) for k, (q, _) in CASES.items()}
-QUERIES |= {"match_pattern": match_pattern, "search_works_distinct": search_works_distinct, "search_limit": search_limit, "count_objects": count_objects,
+QUERIES |= {"search_works_distinct": search_works_distinct, "search_limit": search_limit, "count_objects": count_objects,
             "closure_table": closure_table, "work_graph_rows": work_graph_rows, "relation_names": relation_names, "symbol_counts": symbol_counts}
 SQL = {k: BASE + f"SELECT id, work_id FROM n WHERE {c}" for k, (_, c) in CASES.items()}
 SQL |= {
-    "match_pattern": BASE + "SELECT id, work_id FROM n WHERE list_contains(sy, 'Pattern.' || left(sha256('0:*:deadbeef'), 32)) OR list_contains(sy, 'Pattern.' || left(sha256('0:*:504b0304'), 32))",
     "search_works_distinct": BASE + "SELECT DISTINCT work_id FROM n WHERE object_type = 'PE'",
     "search_limit": BASE + "SELECT DISTINCT work_id FROM n WHERE object_type = 'PE' ORDER BY work_id LIMIT 10",
     "count_objects": BASE + "SELECT count(*) AS objects, count(DISTINCT work_id) AS works FROM n WHERE size > 10000",

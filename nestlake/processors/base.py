@@ -49,6 +49,7 @@ class Job:
     symbols: tuple[str, ...] = ()
     passwords: tuple[str, ...] = ()
     limits: Limits = Limits()
+    page: bytes | None = None  # of an address: what it leads to
 
 
 REGISTRY: dict[str, Callable[[Job], Result]] = {}

@@ -197,7 +197,7 @@ def office(job: Job) -> Result:
 
 def ole(job: Job) -> Result:
     c, out = Compound(job.content), Collector(job)
-    symbols, meta = ["OLE"], {"streams": sorted(c.paths)[:1000]}
+    symbols, meta = ["OLE"], {"streams": sorted(c.paths)}
     for name, key in (("\x05SummaryInformation", "properties"), ("\x05DocumentSummaryInformation", "document_properties")):
         if name in c.paths:
             try:
@@ -399,6 +399,30 @@ def _msi_name(name: str) -> str:
     return "".join(out)
 
 
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>|\b(?:Tj|TJ|Td|TD|T\*|BT|ET)\b|['\"]", re.S)
+# Escapes of literal strings.
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def shown_text(stream: bytes) -> str:
+    """Text that a content stream shows, as far as its fonts use a plain encoding; a line for each move to a new one."""
+    out, held = [], []
+    for m in _SHOWN.finditer(stream):
+        t = m[0]
+        if t[:1] == b"(":
+            held.append(re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() else _PDF_ESCAPES.get(e[1], b"" if e[1].strip() == b"" else e[1]), t[1:-1], flags=re.S))
+        elif t[:1] == b"<":
+            raw = re.sub(rb"\s", b"", t[1:-1])
+            held.append(bytes.fromhex((raw + b"0" * (len(raw) % 2)).decode()))
+        else:
+            if t in (b"Tj", b"TJ", b"'", b'"'):
+                out.append(b"".join(held).decode("cp1252", "replace"))
+            elif out and out[-1] != "\n":
+                out.append("\n")
+            held = []
+    return re.sub(r"\n+", "\n", "".join(out)).strip()
+
+
 @processor("PDF")
 def pdf(job: Job) -> Result:
     """What plain and deflated objects tell without a renderer: version, counts, links, scripts, and issues of the frame."""
@@ -410,22 +434,27 @@ def pdf(job: Job) -> Result:
         issues.append("no end marker")
     if b"startxref" not in c[-4096:]:
         issues.append("no cross-reference offset")
-    parts, left = [c], job.limits.total_bytes
+    parts, files, limited, left = [c], [], False, job.limits.total_bytes
     for s in re.finditer(rb"stream\r?\n", c):
         end = c.find(b"endstream", s.end())
         if end < 0:
             issues.append("stream without end")
             break
-        head = c[max(0, s.start() - 600):s.start()]
-        if b"/FlateDecode" in head[head.rfind(b"obj"):] and b"/Image" not in head[head.rfind(b"obj"):]:
+        head = c[c.rfind(b"obj", 0, s.start()) + 3:s.start()]
+        part = c[s.end():end]
+        if b"/FlateDecode" in head and b"/Image" not in head:
             try:
-                part = zlib.decompressobj().decompress(c[s.end():end], min(left, 8 << 20))
+                part = zlib.decompressobj().decompress(part, left)
             except zlib.error:
                 continue
             left -= len(part)
-            parts.append(part)
-            if left <= 0:
-                break
+            if b"/EmbeddedFile" not in head:
+                parts.append(part)
+        if b"/EmbeddedFile" in head:
+            files.append(part)
+        if left <= 0:
+            limited = True
+            break
     everything = b"\n".join(parts)
     count = lambda rx: len(re.findall(rx, everything))
     uris = sorted({u.decode("latin-1") for u in re.findall(rb"/URI\s*\(((?:[^()\\]|\\.)*)\)", everything)} | {u for u in URI.findall(everything.decode("latin-1"))})
@@ -434,9 +463,14 @@ def pdf(job: Job) -> Result:
     out = Collector(job)
     for body in re.findall(rb"/JS\s*\(((?:[^()\\]|\\.)*)\)", everything):
         out.add(body, {"name": "script"}, "Text")
+    shown = "\n".join(filter(None, map(shown_text, parts[1:] or parts)))
+    if shown:
+        out.add(shown.encode(), {"name": "text"}, "Text")
+    for body in files:
+        out.add(body, {"attachment": True})
     for d in domains:
         out.add(d.encode(), {"name": d}, "Domain")
-    symbols = (["ENCRYPTED"] if b"/Encrypt" in c else []) + (["ISSUES"] if issues else []) + ([] if re.search(rb"\bT[jJ]\b", everything) else ["NOTEXT"])
+    symbols = (["LIMITS_REACHED"] if limited else []) + (["ENCRYPTED"] if b"/Encrypt" in c else []) + (["ISSUES"] if issues else []) + ([] if re.search(rb"\bT[jJ]\b", everything) else ["NOTEXT"])
     form = "XfaFull" if b"/XFA" in everything else "Acrobat" if b"/AcroForm" in everything else "None"
     meta = {"version": m[1].decode(), "form_type": form, "fonts": fonts, "number_of_pages": count(rb"/Type\s*/Page\b"), "number_of_objects": count(rb"\b\d+ \d+ obj\b"), "number_of_annotations": count(rb"/Type\s*/Annot\b"),
             "number_of_links": count(rb"/Subtype\s*/Link\b"), "number_of_attachments": count(rb"/Type\s*/EmbeddedFile\b"), "number_of_signatures": count(rb"/Type\s*/Sig\b"), "uris": uris, "unique_hosts": hosts, "unique_domains": domains, "issues": issues}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from datetime import UTC, datetime
+from urllib.parse import urlsplit
 
-from nestlake.processors.base import Job, Result, processor
+from nestlake.processors.base import Collector, Job, Malformed, Result, processor
 
 # Names that registries give to the same fields.
 FIELDS = {
@@ -60,4 +61,19 @@ def domain(job: Job) -> Result:
 
 @processor("URL", "Url")
 def url(job: Job) -> Result:
-    return Result({}, ["FETCH_ERROR"], error="fetching is not part of this build; join a table of fetched pages")
+    """The address's parts, and as a child the page that the table of fetched pages holds for it."""
+    address = job.content.decode("utf-8", "replace").strip()
+    try:
+        parts = urlsplit(address)
+        meta = {"url": address, "scheme": parts.scheme, "host": parts.hostname, "port": parts.port, "path": parts.path, "query": parts.query or None}
+    except ValueError:
+        raise Malformed("no address") from None
+    if not parts.scheme or not parts.hostname:
+        raise Malformed("no address")
+    out = Collector(job)
+    if re.fullmatch(r"[^\d.]*\.[^.]*|(?:[^.]+\.)+[A-Za-z][\w-]*", parts.hostname):
+        out.add(parts.hostname.encode(), {"name": parts.hostname}, "Domain")
+    if job.page is None:
+        return Result(meta, ["NOT_FETCHED", *out.symbols], out.children)
+    out.add(bytes(job.page), {"url": address})
+    return Result(meta | {"page_size": len(job.page)}, out.symbols, out.children)

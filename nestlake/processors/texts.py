@@ -31,8 +31,7 @@ def decode(content: bytes) -> tuple[str, str, bool]:
         return content.decode("utf-8"), "utf-8", False
     except UnicodeDecodeError:
         pass
-    sample = content[:65536]
-    cyrillic = sum(b >= 0xC0 for b in sample) > 0.3 * len(sample)
+    cyrillic = len(content) - len(content.translate(None, bytes(range(0xC0, 0x100)))) > 0.3 * len(content)
     name = "windows-1251" if cyrillic else "windows-1252"
     text = content.decode({"windows-1251": "cp1251", "windows-1252": "cp1252"}[name], "replace")
     return text, name, "\ufffd" in text

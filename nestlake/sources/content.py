@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,11 @@ MAGIC = (
 ALIASES = {"Lnk": "LNK", "Pdf": "PDF", "Rar": "RAR", "Url": "URL", "Zip": "ZIP"}
 
 
+# Header names that show a mail.
+_MAIL_HEADERS = (b"from", b"to", b"subject", b"date", b"received", b"message-id", b"mime-version", b"return-path", b"content-type")
+_HTML, _SVG = re.compile(rb"<(?:html|body)[\s>]|^\s*<!doctype html", re.I), re.compile(rb"<svg[\s>]", re.I)
+
+
 def detect(content: bytes | None) -> str:
     if content is None:
         return "SKIPPED"
@@ -42,15 +49,14 @@ def detect(content: bytes | None) -> str:
     if content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
         wide = lambda s: s.encode("utf-16-le")
         return "MSG" if wide("__substg1.0_") in content else "MSI" if wide("䡀") in content else "Office"
-    head = content[:2048]
-    low = head.lstrip().lower()
-    if low.startswith((b"<!doctype html", b"<html")) or b"<html" in low or b"<body" in low:
+    lines = re.split(rb"\r?\n\r?\n", content, maxsplit=1)[0].split(b"\n")  # the header ends at the first empty line
+    if sum(x.split(b":")[0].lower() in _MAIL_HEADERS for x in lines) >= 2:
+        return "Email"  # before HTML, which a mail may hold
+    if _HTML.search(content):
         return "HTML"
-    if low.startswith((b"<svg", b"<?xml")) and b"<svg" in low:
+    start = content.lstrip()[:5].lower()
+    if start in (b"<svg ", b"<?xml", b"<svg>") and _SVG.search(content):
         return "Image"
-    lines = head.split(b"\n")[:12]
-    if sum(x.split(b":")[0].lower() in (b"from", b"to", b"subject", b"date", b"received", b"message-id", b"mime-version", b"return-path", b"content-type") for x in lines) >= 2:
-        return "Email"
     return "Text" if _is_text(content) else "UNKNOWN"
 
 
@@ -96,5 +102,13 @@ def read_files(spark: SparkSession, path: str, org: str = "default") -> DataFram
 
 
 def read_object(contents: DataFrame, object_id: str) -> DataFrame:
-    """Content of one object by its id, the SHA-256 of the content."""
-    return contents.where(F.sha2("content", 256) == object_id).select("content").limit(1)
+    """Content of one object by its id, the SHA-256 of the content. Where the table stores the ids, the filter reaches
+    the scan; only else every content has to be hashed."""
+    own = F.col("object_id") if "object_id" in contents.columns else F.sha2("content", 256)
+    return contents.where(own == object_id).select("content").limit(1)
+
+
+def rename_types(objects: DataFrame) -> DataFrame:
+    """Rows stored under older spellings of types, brought up to date."""
+    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return objects.withColumn("object_type", F.coalesce(names[F.col("object_type")], F.col("object_type")))

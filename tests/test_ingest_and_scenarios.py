@@ -119,3 +119,24 @@ def test_streams(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [x.n for x in spark.sql("SELECT n FROM windows ORDER BY start").collect()] == [2, 2, 2]
+
+
+def test_what_dissection_can_be_told(spark):
+    """Limits, signatures, pages, recursion of a submission, and members handed down."""
+    from nestlake.processors import Limits
+
+    rows = [("w1", "o", datetime(2020, 1, 1), nested_zip(2), '{"_global": {"case": 7}}', None, None), ("w2", "o", datetime(2020, 1, 1), nested_zip(2), "{}", None, 2),
+            ("w3", "o", datetime(2020, 1, 1), b"https://h.example/a", "{}", "URL", None), ("w4", "o", datetime(2020, 1, 1), b"https://h.example/none", "not json", "URL", None)]
+    df = spark.createDataFrame(rows, SUBMITTED + ", object_type string, max_recursion int")
+    pages = spark.createDataFrame([("https://h.example/a", bytearray(b"<html><body><p>evil words</p></body></html>")), (None, None)], "url string, content binary")
+    objects, rels = dissect(df, limits={"ZIP": Limits(children=0)}, pages=pages, signatures={"bad": ("6576696c20776f726473", "*")})
+    assert objects.where("work_id = 'w1'").count() == 1  # no children are allowed
+    objects, rels = dissect(df, pages=pages, patterns=[("6576696c", "*")], signatures={"bad": ("6576696c20776f726473", "*")})
+    o = {}
+    for r in objects.collect():
+        o.setdefault(r.work_id, []).append(r)
+    assert len(o["w1"]) == 3 and len(o["w2"]) == 2 and any("TOODEEP" in r.result for r in o["w2"])
+    assert {r.props for r in rels.where("work_id = 'w1' AND parent IS NOT NULL").collect()} and all('"case": 7' in r.props for r in rels.where("work_id = 'w1' AND parent IS NOT NULL").collect())
+    page = [r for r in o["w3"] if r.object_type == "HTML"]
+    assert len(page) == 1 and "INFECTED" in page[0].result and '"bad"' in page[0].result and "Pattern." in page[0].result
+    assert len([r for r in o["w4"] if r.object_type != "Domain"]) == 1 and "NOT_FETCHED" in o["w4"][0].result + o["w4"][-1].result
