@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestlake.operators.ranking import window_sums
 from nestlake.plans.parser import parse_global
 from nestlake.plans.scenarios import Scenario, entries, evaluate, neighbour_counts, pairs
 from nestlake.plans.search_queries import BASE, store
@@ -43,16 +44,12 @@ def neighbours_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_window(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases with at least three errors of any user within the hour around them: the range frame on a plain table."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    hour = 3_600_000_000
-    home = F.floor(F.col("us") / hour)
-    x = e.select("*", home.alias("home")).select("*", F.explode(F.array(home - 1, home, home + 1)).alias("bucket"))
-    frame = Window.partitionBy("bucket").orderBy("us").rangeBetween(-hour, hour)
-    x = x.withColumn("errors", F.count_if(F.col("event_type") == "error").over(frame))
-    return x.where("event_type = 'purchase' AND bucket = home AND errors >= 3").select("event_id", "errors")
+    """Purchases with at least three errors of any user within the hour around them: window sums on a plain table."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    errors = e.where("event_type = 'error'").select("at", F.col("event_id").alias("id"))
+    bought = e.where("event_type = 'purchase'").select(F.col("event_id").alias("key"), "at")
+    found = window_sums(bought, errors, 3_600_000_000, {"errors": F.lit(1)})
+    return found.where("errors >= 3").select(F.col("key").alias("event_id"), "errors")
 
 
 QUERIES = {

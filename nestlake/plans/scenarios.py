@@ -6,11 +6,13 @@ neighbour before the work precedes one after it at the same distance, then the s
 number n of neighbours that the global query matches is held against the threshold over the N neighbours.
 
 Two plans give the counts:
- * without max_neighbors and selectors, a neighbour's match does not depend on the local work, so N and n are range
-   frames over time: entries are cut into buckets one window wide, every bucket sees its two neighbour buckets, and a
-   sort-based RANGE frame counts - linear in the entries times three, no pair of works is ever formed;
- * otherwise pairs come from an equi-join on time buckets with the exact distance as residual; with max_neighbors the
-   row_number filter becomes a per-partition top-k.
+ * without max_neighbors and selectors, a neighbour's match does not depend on the local work, so N and n are
+   differences of running counts along the time order at both ends of the window (``operators.ranking``): linear in the
+   entries, however wide the window is and however many entries share a moment, and no pair of works is ever formed;
+ * with max_neighbors, entries are numbered along the time order, and a work is paired only with the max_neighbors
+   entries before and after its own place, found by an equi-join on the number;
+ * with selectors and no max_neighbors the answer depends on every pair within the window, so all are formed, by an
+   equi-join on time buckets with the exact distance as residual.
 
 Deviations from a one-by-one evaluation: true distances decide the order everywhere; ties are broken as above.
 """
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nestlake.operators.ranking import running_sums, window_sums
 from nestlake.plans import ast as A
 from nestlake.plans.parser import QueryError, parse, parse_global
 from nestlake.plans.search import Store
@@ -169,32 +172,45 @@ def neighbour_counts(store: Store, q: A.Query, hit: DataFrame, all_entries: Data
 
 
 def _by_frames(store: Store, q: A.Query, hit: DataFrame, all_entries: DataFrame) -> DataFrame:
-    w = max(q.settings.window_us, 1)
     c = store.compiler(q)
     match = c.select(q.body).select("work_id").distinct().withColumn("m", F.lit(1))
     e = all_entries.join(match, "work_id", "left").join(hit.select("work_id", F.lit(True).alias("own")), "work_id", "left")
-    e = e.select("work_id", F.unix_micros("t").alias("us"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("own", F.lit(False)).alias("own"))
-    home = F.floor(F.col("us") / w)
-    e = e.select("*", home.alias("home")).select("*", F.explode(F.array(home - 1, home, home + 1)).alias("bucket"))
-    frame = Window.partitionBy("bucket").orderBy("us").rangeBetween(-q.settings.window_us, q.settings.window_us)
-    e = e.select("*", F.count(F.lit(1)).over(frame).alias("total"), F.sum("m").over(frame).alias("n"))
-    return e.where("own AND bucket = home").select("work_id", (F.col("total") - 1).alias("total"), (F.col("n") - F.col("m")).alias("n"))
+    e = e.select("work_id", "id", F.unix_micros("t").alias("us"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("own", F.lit(False)).alias("own"))
+    own = e.where("own").select(F.col("work_id").alias("key"), F.col("us").alias("at"))
+    sums = window_sums(own, e.select(F.col("us").alias("at"), "id", "m"), q.settings.window_us, {"total": F.lit(1), "n": F.col("m")})
+    return e.where("own").join(sums, F.col("work_id") == F.col("key")).select("work_id", (F.col("total") - 1).alias("total"), (F.col("n") - F.col("m")).alias("n"))
 
 
 def pairs(hit: DataFrame, all_entries: DataFrame, window_us: int, max_neighbors: int | None) -> DataFrame:
     """(local, neighbour) within the window, the nearest max_neighbors of each."""
+    if max_neighbors is not None:
+        return _nearest(hit, all_entries, window_us, max_neighbors)
     w = max(window_us, 1)
     a = hit.select(F.col("work_id").alias("local"), F.unix_micros("t").alias("at"))
     a = a.select("*", F.floor(F.col("at") / w).alias("home")).select("local", "at", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)).alias("bucket"))
     b = all_entries.select(F.col("work_id").alias("neighbour"), "id", F.unix_micros("t").alias("us"), F.floor(F.unix_micros("t") / w).alias("bucket"))
     dt = F.abs(F.col("us") - F.col("at"))
     p = a.join(b, "bucket").where((dt <= window_us) & (F.col("local") != F.col("neighbour"))).select("local", "neighbour", "id", dt.alias("dt"), (F.col("us") > F.col("at")).alias("after"))
-    if max_neighbors is not None:
-        rank = F.row_number().over(Window.partitionBy("local").orderBy("dt", "after", "id"))
-        p = p.withColumn("rank", rank).where(F.col("rank") <= max_neighbors)
     return p.select("local", "neighbour")
 
 
+def _nearest(hit: DataFrame, all_entries: DataFrame, window_us: int, k: int) -> DataFrame:
+    """Candidates are the k entries on either side; among entries of one moment the smaller id is the nearer one, so each
+    side has its own numbering."""
+    one = {"place": F.lit(1)}
+    e = all_entries.select(F.col("work_id").alias("neighbour"), "id", F.unix_micros("t").alias("us"))
+    back = cut(running_sums(e, [F.col("us"), F.desc("id")], one))
+    ahead = running_sums(e, [F.col("us"), F.col("id")], one)
+    upto = back.groupBy(F.col("us").alias("at")).agg(F.max("place").alias("upto"))
+    a = hit.select(F.col("work_id").alias("local"), F.unix_micros("t").alias("at")).join(upto, "at")
+    place = lambda lo, hi: a.select("local", "at", F.explode(F.sequence(F.col("upto") + lo, F.col("upto") + hi)).alias("place"))
+    near = place(-k, 0).join(back, "place").unionByName(place(1, max(k, 1)).join(ahead, "place"))  # the work itself is among those before
+    dt = F.abs(F.col("us") - F.col("at"))
+    near = near.where((dt <= window_us) & (F.col("local") != F.col("neighbour")))
+    rank = F.row_number().over(Window.partitionBy("local").orderBy(dt, F.col("us") > F.col("at"), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("local", "neighbour")
+
+
 def _by_pairs(store: Store, q: A.Query, hit: DataFrame, all_entries: DataFrame) -> DataFrame:
     p = cut(pairs(hit, all_entries, q.settings.window_us, q.settings.max_neighbors))
     matched = store.global_matches(q, p).withColumn("m", F.lit(1))
