@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nestlake.runtime import cut, fresh_dir, gathered
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -53,12 +55,14 @@ class Automaton:
     typed: dict[tuple[str, str], tuple[tuple[str, ...], dict[str, str]]] = field(hash=False)
 
     def levels(self) -> list[list[Edge]]:
-        """Edges by distance from the start state."""
+        """Edges by distance from the start state; a recursive automaton has no end and is for ``flatten_deep``."""
         out, at = [], {"record"}
         while at:
             now = [e for e in self.edges if e.source in at]
             if not now:
                 break
+            if len(out) > len(self.edges):
+                raise ValueError("the automaton is recursive")
             out.append(now)
             at = {e.target for e in now}
         return out
@@ -171,6 +175,41 @@ def flatten(df: DataFrame, a: Automaton, rec_id: str, json: str) -> DataFrame:
     return rows.withColumn("variant", variant)
 
 
+def _placed(target: str) -> Callable[[Column, Column], Column]:
+    def make(x: Column, n: Column) -> Column:
+        return F.struct(F.lit(target).alias("flat"), F.concat("place", F.array(n)).alias("place"), as_object(x).alias("node"))
+
+    return make
+
+
+def flatten_deep(df: DataFrame, a: Automaton, rec_id: str, json: str) -> DataFrame:
+    """(rec_id, flat, place, parent_flat, parent_place, variant, node) for automata of any shape: records may nest in
+    themselves, and any number of lists may lie in one another. ``place`` holds a position for each step from the record
+    (-1 where the step is no list), so a row's parent is the row of its place without the last one. Levels are taken
+    one by one, each a scan of the rows of the one before only, until no object is found."""
+    v = F.try_parse_json(F.col(json))
+    for member in a.start:
+        v = as_object(_get(v, member))
+    spot = F.array().cast("array<int>")
+    cur = cut(df.select(F.col(rec_id).alias(rec_id), v.alias("node")).where("node IS NOT NULL").select(rec_id, F.lit("record").alias("flat"), spot.alias("place"), F.lit(None).cast("string").alias("parent_flat"), spot.alias("parent_place"), "node"))
+    folder, n = fresh_dir(df.sparkSession), 1
+    first = cut(cur.where("false"), into=folder)
+    while n:
+        grown = none = F.array().cast("array<struct<flat:string,place:array<int>,node:variant>>")
+        for e in a.edges:
+            child = _follow(F.col("node"), e.path)
+            row = _placed(e.target)
+            kids = F.transform(as_list(child), row) if e.position else F.array(row(child, F.lit(-1)))
+            grown = F.concat(grown, F.coalesce(F.when(F.col("flat") == e.source, kids), none))
+        step = cur.select(rec_id, F.col("flat").alias("parent_flat"), F.col("place").alias("parent_place"), F.explode(F.filter(grown, lambda x: x["node"].isNotNull())).alias("__k"))
+        cur, seen = cut(step.select(rec_id, "__k.flat", "__k.place", "parent_flat", "parent_place", "__k.node"), F.count(F.lit(1)).alias("n"), into=folder)
+        n = seen["n"]
+    variant = F.lit("other")
+    for state in a.rules:
+        variant = F.when(F.col("flat") == state, classify(a, state, F.col("node"))).otherwise(variant)
+    return gathered(first, folder).withColumn("variant", variant)
+
+
 def supertype_table(rows: DataFrame, a: Automaton, rec_id: str, flat: str) -> DataFrame:
     """All variants of one state: keys, parent link, variant, the members that variants have in common, and the whole
     object, which also holds the members that are not typed."""

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from nestlake.operators import nested as N
 from nestlake.operators.nested_queries import LNK
 
@@ -105,3 +107,39 @@ def test_flat_tables_hold_all_members(spark, tmp_path):
     assert v.volume_label_unicode == "Łódź" and json.loads(v.members) == volume
     assert json.loads(rows["p4_property_value_stringname"][0].value) == {"x": 1}
     assert len(QUERIES) == 1 + 2 * len({e.target for e in LNK.edges}) + len(LNK.typed)  # p4_found, all states whole and by columns, all typed variants
+
+
+def test_records_that_nest_in_themselves(spark):
+    """Trees of any depth, one list in another, against a walk in Python."""
+    import random
+
+    from nestlake.operators import nested as N
+
+    rng = random.Random(2)
+
+    def tree(depth):
+        x = {"name": rng.choice("abc")}
+        if depth and rng.random() < 0.9:
+            x["kids"] = [tree(depth - 1) if rng.random() < 0.8 else rng.choice([None, 3]) for _ in range(rng.randrange(3))]
+        if depth and rng.random() < 0.5:
+            x["twin"] = tree(depth - 1)
+        return x
+
+    records = [(i, {"top": tree(7)}) for i in range(12)]
+    a = N.Automaton(("top",), (N.Edge("record", ("kids",), "node", "i"), N.Edge("record", ("twin",), "node"), N.Edge("node", ("kids",), "node", "i"), N.Edge("node", ("twin",), "node")),
+                    {"node": (N.Rule("leaf", {"name": "text"}, exact=True),)}, {}, {})
+    want = []
+
+    def walk(i, x, place, flat):
+        for k, y in [*enumerate(x.get("kids", [])), (-1, x.get("twin"))]:
+            if isinstance(y, dict):
+                want.append((i, tuple(place + [k]), tuple(place), flat, "leaf" if set(y) == {"name"} else "other"))
+                walk(i, y, place + [k], "node")
+
+    for i, r in records:
+        walk(i, r["top"], [], "record")
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records] + [(None, "nonsense")], "id long, j string")
+    got = [(r.id, tuple(r.place), tuple(r.parent_place), r.parent_flat, r.variant) for r in N.flatten_deep(df, a, "id", "j").collect()]
+    assert sorted(got) == sorted(want) and max(len(p) for _, p, *_ in want) > 4
+    with pytest.raises(ValueError):
+        a.levels()
