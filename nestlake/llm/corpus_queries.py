@@ -65,13 +65,17 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Of each target source: whether the share reached is the target among the sources that have documents (to half a
-    percent), and whether no document is used more often than allowed."""
-    live = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select(F.col("source").alias("doc_source")).distinct().withColumn("live", F.lit(True))
-    s = p8_shares(spark, d).join(live.withColumnRenamed("doc_source", "source"), "source", "left")
-    s = cut(s.withColumn("wanted", F.when(F.col("live"), F.col("target_share")).otherwise(0.0)))
-    total = s.agg(F.sum("wanted")).first()[0] or 1.0
-    return s.select("source", (F.abs(F.col("wanted") / total - F.col("reached_share")) < 0.005).alias("share_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+    """Of each target source: whether the tokens reached are its target among the sources that have documents, to the
+    longest document used (documents are whole, and one lies at the end of each stretch), and whether no document is
+    used more often than allowed."""
+    mixed = cut(_mix(spark, d))
+    longest, total = mixed.agg(F.max("tokens"), F.sum(F.col("tokens") * F.col("uses"))).first()
+    live = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select("source", F.lit(True).alias("live")).distinct()
+    s = mixing.shares(mixed, table(spark, d, "source_targets")).join(live, "source", "left").withColumn("wanted", F.when(F.col("live"), F.col("target_share")).otherwise(0.0))
+    s = cut(s)
+    weight = s.agg(F.sum("wanted")).first()[0] or 1.0
+    off = F.abs(F.col("wanted") / weight * (total or 0) - F.col("tokens"))
+    return s.select("source", (off <= (longest or 0)).alias("share_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
 
 
 QUERIES = {"p7_contents": p7_contents, "p7_fill": p7_fill, "p7_fill_plain_buckets": p7_fill_plain_buckets, "p7_checks": p7_checks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks}

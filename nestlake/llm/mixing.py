@@ -1,6 +1,7 @@
 """Mixing sources to target shares of tokens with capped repetition.
 
-Copies of one text are one unit that is a member of every source holding a copy. Units are aggregated by membership
+Copies of one text in several sources are one unit that is a member of each of them; a source's second copy belongs to
+a second unit, and so on, so every document is in exactly one unit. Units are aggregated by membership
 pattern (at most 2^sources rows), and a min-cost flow on that small graph routes token capacity of the patterns to the
 sources' quotas. The n-th use of a unit costs n - 1 a token, so repetition costs are convex and nothing is repeated
 while fresh text is left. The mix is as large as the shares and caps allow. Within each pattern the units stand in the
@@ -8,8 +9,10 @@ order of a seeded hash; each flow takes a stretch of that order. The place of a
 bins and a running sum inside its bin only, never over the whole.
 
 Defined results: null texts, texts without tokens and documents of no or another source are not used; a target
-source without documents has share 0, the rest keep their proportions; a stretch may overshoot by one unit; the unit's
-smallest doc_id of the source it is used for stands for it; no usable source gives an empty mix.
+source without documents has share 0, the rest keep their proportions; a unit at the end of a
+stretch belongs to the one that holds its middle, so a stretch is met to half a unit; a unit used for a
+source is used as its document there; no document of a unit is used more often than the cap of its source, nor all of
+them together more often than the largest cap; no usable source gives an empty mix.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql.window import Window
 from nestlake.runtime import cut
 
 UNITS_PER_BIN = 50_000
+#: Copies of a text in a source that are numbered together; larger groups are split by a hash first.
+COPIES = 10_000
 
 
 class Flow:
@@ -107,9 +112,12 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], total: int | Non
     """docs(doc_id, source, text_key, tokens), already materialised -> (doc_id, source, uses, tokens)."""
     spark = docs.sparkSession
     known = docs.where(F.col("source").isin(list(targets)) & (F.col("tokens") > 0))
-    unit = known.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-    unit = unit.groupBy("text_key").agg(F.max("tokens").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("of"))
-    unit = cut(unit.select("text_key", "tokens", "of", F.array_join(F.array_sort(F.map_keys("of")), "|").alias("pattern"), F.xxhash64("text_key", F.lit(seed)).alias("h")))
+    once = known.groupBy("text_key", "source", "doc_id").agg(F.max("tokens").alias("tokens"))
+    many = once.groupBy("text_key", "source").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > COPIES)  # rarely any, so a small table to join
+    group = once.join(many, ["text_key", "source"], "left").withColumn("__g", F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("__c", F.lit(1)) / COPIES)))
+    copy = F.row_number().over(Window.partitionBy("text_key", "source", "__g").orderBy("doc_id"))
+    unit = group.withColumn("__j", copy).groupBy("text_key", "__g", "__j").agg(F.max("tokens").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("of"))  # one document of each source
+    unit = cut(unit.select(F.concat_ws("/", "text_key", "__g", "__j").alias("text_key"), "tokens", "of", F.array_join(F.array_sort(F.map_keys("of")), "|").alias("pattern"), F.xxhash64("text_key", "__g", "__j", F.lit(seed)).alias("h")))
     sums = unit.groupBy("pattern").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # at most 2^sources rows
     flows = route({r["pattern"]: r["t"] for r in sums}, targets, total)
     schema = "doc_id long, source string, uses int, tokens long"
@@ -121,7 +129,7 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], total: int | Non
     before = F.coalesce(F.sum("t").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = unit.join(per_bin.select("pattern", "bin", before.alias("base")), ["pattern", "bin"])
     inside = F.sum("tokens").over(Window.partitionBy("pattern", "bin").orderBy("h", "text_key").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("start", F.col("base") + inside - F.col("tokens"))
+    placed = placed.withColumn("start", F.col("base") + inside - F.col("tokens") / 2)  # the middle of the unit decides
     stretches, at = [], {}
     for p, use, s, tokens in flows:
         lo = at.get((p, use), 0)

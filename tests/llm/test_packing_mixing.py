@@ -125,3 +125,15 @@ def test_mix(spark):
     assert abs(total["b"] / sum(total.values()) - 2 / 3) < 0.01
     assert {(r.doc_id, r.uses) for r in mixing.mix(df, targets).collect()} == {(r.doc_id, r.uses) for r in rows}
     assert mixing.mix(df.where("false"), targets).count() == 0
+
+
+def test_mix_uses_every_copy(spark, monkeypatch):
+    """A third of a source is one text: all its documents are used, also where the group of copies is split."""
+    docs = [(i, "a", "same" if i < 100 else f"t{i}", 10) for i in range(300)] + [(1000 + i, "b", "same" if i < 30 else f"u{i}", 10) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text_key string, tokens int")
+    for copies in (10_000, 7):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        rows = mixing.mix(df, {"a": (0.5, 1), "b": (0.5, 1)}).collect()
+        assert all(r.uses == 1 for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+        used = {x: [r for r in rows if r.source == x] for x in "ab"}
+        assert len(used["a"]) >= 280 and len(used["b"]) >= 280 and len([r for r in used["a"] if r.doc_id < 100]) > 60
