@@ -390,10 +390,13 @@ class Compiler:
         if not negated:
             return df, inside
         gaps = sel.groupBy(*by).agg(F.bool_or(F.col("value").isNull()).alias(f"{n}_g"), F.count(F.lit(1)).alias(f"{n}_c")).select(*[F.col(k).alias(f"{n}g_{k}") for k in by], f"{n}_g", f"{n}_c")
-        cond = F.lit(True)
-        for k in by:
-            cond = cond & (F.col(k) == F.col(f"{n}g_{k}"))
-        df = df.join(gaps, cond, "left")
+        if by:
+            cond = F.lit(True)
+            for k in by:
+                cond = cond & (F.col(k) == F.col(f"{n}g_{k}"))
+            df = df.join(gaps, cond, "left")
+        else:  # a sum over everything: exactly one row
+            df = df.crossJoin(F.broadcast(gaps))
         unknown = (left.isNull() & (F.coalesce(F.col(f"{n}_c"), F.lit(0)) > 0)) | F.coalesce(F.col(f"{n}_g"), F.lit(False))
         return df, F.when(inside, False).when(unknown, None).otherwise(True)
 

@@ -20,9 +20,9 @@ Deviations from a one-by-one evaluation: true distances decide the order everywh
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +71,19 @@ class Registry:
     def list(self) -> list[Scenario]:
         return [self._all[n] for n in sorted(self._all)]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write all scenarios as one table; the version under ``path`` is replaced as a whole."""
+        rows = [tuple(getattr(s, f.name) for f in fields(Scenario)) for s in self.list()]
+        spark.createDataFrame(rows, ", ".join(f"{f.name} string" for f in fields(Scenario))).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Registry:
+        """Scenarios as they are stored now; a stored one that is not valid any more is an error."""
+        out = cls()
+        for r in spark.read.parquet(path).orderBy("name").collect():  # one row for each scenario
+            out.add(Scenario(**r.asDict()))
+        return out
+
     def patterns(self) -> list[A.Pattern]:
         """All byte patterns of compatible scenarios, sorted and without repetition: what a scanner has to look for."""
         found: set = set()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -59,10 +61,20 @@ def gathered(like: DataFrame, folder: str) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that cut() writes inside the block are deleted at its end; results must be written or collected before."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        clean(held)
+
+
 @atexit.register
-def clean() -> None:
-    """Delete the tables that cut() wrote in this process, as far as the session still runs."""
-    while _written:
+def clean(keep: int = 0) -> None:
+    """Delete the tables that cut() wrote in this process, but for the first ``keep``, as far as the session still runs."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

@@ -140,3 +140,16 @@ def test_what_dissection_can_be_told(spark):
     page = [r for r in o["w3"] if r.object_type == "HTML"]
     assert len(page) == 1 and "INFECTED" in page[0].result and '"bad"' in page[0].result and "Pattern." in page[0].result
     assert len([r for r in o["w4"] if r.object_type != "Domain"]) == 1 and "NOT_FETCHED" in o["w4"][0].result + o["w4"][-1].result
+
+
+def test_registry_is_stored(spark, tmp_path):
+    r = Registry()
+    r.add(Scenario("b", "x", "me", "size > 1", None, "text"))
+    r.add(Scenario("a", "y", "me", "true", "MATCHES:>1;TIME_WINDOW:1 day; true"))
+    r.save(spark, f"{tmp_path}/s")
+    assert Registry.load(spark, f"{tmp_path}/s").list() == r.list()
+    r.delete("a")
+    r.save(spark, f"{tmp_path}/s")
+    assert [s.name for s in Registry.load(spark, f"{tmp_path}/s").list()] == ["b"]
+    Registry().save(spark, f"{tmp_path}/s")
+    assert Registry.load(spark, f"{tmp_path}/s").list() == []

@@ -127,3 +127,26 @@ def test_cycles_are_no_problem_for_closure(spark):
     f = hierarchy.build_forest(spark.createDataFrame([(1,), (2,), (3,), (3,)], "node long"), spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "parent long, child long"))
     assert {(r.node, r.kind) for r in f.circular.collect()} == {(1, "cycle"), (2, "cycle"), (3, "below_cycle")}
     assert f.reached.count() == 0
+
+
+def test_terminal(store):
+    from nestlake.__main__ import answer
+
+    assert answer(store, ":check size > 1") == "ok" and "at" in answer(store, ":check size >") and answer(store, ":global size > 1") != "ok"
+    zips = [x for x in FOREST if x.kind == "Zip"]
+    assert answer(store, ':count object_type == "Zip"') == f"{len(zips)} objects in {len({x.work for x in zips})} works"
+    assert set(answer(store, 'object_type == "Zip"', 1000).split("\n")) == {f"{x.work}\t{x.name}" for x in zips}
+    assert "^" in answer(store, "size >") and "number" in answer(store, ":complete size > ") and answer(store, ":quit") is None and "Physical" in answer(store, ":explain size > 1")
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from nestlake.runtime import scratch, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    kept = cut(spark.range(3))
+    before = len(list(folder.iterdir()))
+    with scratch():
+        assert cut(spark.range(5)).count() == 5 and len(list(folder.iterdir())) == before + 1
+    assert len(list(folder.iterdir())) == before and kept.count() == 3
