@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,30 @@ def number_class(text: str) -> Column:
     return F.when(digits == 0, None).when(digits == rest, "ALL_NUMBERS").when(digits > F.floor(rest / 2), "MOSTLY_NUMBERS").when(digits > F.floor(rest / 10), "MANY_NUMBERS")
 
 
+# Frequent function words of languages by their English names.
+FUNCTION_WORDS = {
+    "English": ("the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "with", "not"), "French": ("le", "la", "les", "des", "et", "est", "dans", "pas", "pour", "une", "du", "que"),
+    "German": ("der", "die", "das", "und", "nicht", "ist", "von", "mit", "den", "auf", "ein", "eine"), "Italian": ("il", "che", "di", "non", "per", "una", "del", "della", "con", "sono", "nel", "la"),
+    "Polish": ("i", "w", "na", "nie", "się", "z", "do", "że", "jest", "po", "o", "przez"), "Russian": ("и", "в", "не", "на", "что", "с", "по", "это", "как", "из", "к", "за"),
+    "Spanish": ("el", "la", "los", "las", "del", "y", "que", "por", "con", "una", "para", "no"),
+}
+LEAST_WORDS = 3
+
+
+def _among(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*words)
+
+
+def natural_language(text: str) -> Column:
+    """English name of the language with most function words in the text; null with fewer than LEAST_WORDS, or a tie."""
+
+    def of_words(words: Column) -> Column:
+        found = F.array(*[F.struct(F.size(F.filter(words, _among(ws))).alias("n"), F.lit(name).alias("name")) for name, ws in FUNCTION_WORDS.items()])
+        return F.transform(F.array(F.sort_array(found, False)), lambda a: F.when((F.get(a, F.lit(0))["n"] >= LEAST_WORDS) & (F.get(a, F.lit(0))["n"] > F.get(a, F.lit(1))["n"]), F.get(a, F.lit(0))["name"]))
+
+    return F.flatten(F.transform(F.array(F.split(F.lower(text), r"[^\p{L}]+")), of_words))[0]
+
+
 def uris(text: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(URI), 1)))
 

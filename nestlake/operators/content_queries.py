@@ -55,6 +55,10 @@ def text_passwords(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.alias("text")).select("doc_id", F.explode(T.passwords("text")).alias("password"))
 
 
+def text_natural_language(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.natural_language("text").alias("natural_language")).where("natural_language IS NOT NULL")
+
+
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     c = _docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     h = hashes("content")
@@ -111,13 +115,16 @@ def html_domains(spark: SparkSession, d: str) -> DataFrame:
     return found.join(rels.select(F.col("child").alias("id"), "props"), "id").select("work_id", F.get_json_object("props", "$.name").alias("domain"))
 
 
-QUERIES = {f.__name__: f for f in (text_features, text_number_class, text_uris, text_hosts, text_all_ascii, text_cc_luhn, text_passwords, content_hashes, content_entropy, ingest_tree, html_domains)}
+QUERIES = {f.__name__: f for f in (text_features, text_number_class, text_uris, text_hosts, text_all_ascii, text_cc_luhn, text_passwords, text_natural_language, content_hashes, content_entropy, ingest_tree, html_domains)}
 
 _N = """WITH c AS (SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS dg, length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS a,
   length(text) - length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS ws, length(text) - length(regexp_replace(text, '\\n', '', 'g')) AS nl,
   len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS wd FROM documents WHERE text IS NOT NULL) """
 _U = r"""regexp_extract_all(text, '(?i)\b((?:https?|ftp)://[^\s<>"''`{}|\\^\[\]]*[^\s<>"''`{}|\\^\[\].,;:!?()])', 1)"""
+_WORDS = ", ".join("(len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in ws) + f"))), '{name}')" for name, ws in T.FUNCTION_WORDS.items())
 SQL = {
+    "text_natural_language": rf"""WITH c AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, list_reverse_sort([{_WORDS}]) AS a FROM c)
+SELECT doc_id, a[1][2] AS natural_language FROM n WHERE a[1][1] >= {T.LEAST_WORDS} AND a[1][1] > a[2][1]""",
     "text_features": _N + "SELECT doc_id, n AS number_of_characters, dg AS number_of_digits, a AS number_of_ascii_range_chars, ws AS number_of_whitespaces, nl AS number_of_newlines, CAST(wd AS BIGINT) AS number_of_words FROM c",
     "text_number_class": _N + "SELECT * FROM (SELECT doc_id, CASE WHEN dg = 0 THEN NULL WHEN dg = n - ws THEN 'ALL_NUMBERS' WHEN dg > (n - ws) // 2 THEN 'MOSTLY_NUMBERS' WHEN dg > (n - ws) // 10 THEN 'MANY_NUMBERS' END AS symbol FROM c) WHERE symbol IS NOT NULL",
     "text_uris": f"SELECT doc_id, unnest(list_distinct({_U})) AS uri FROM documents WHERE text IS NOT NULL",

@@ -13,7 +13,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import unquote_to_bytes, urlsplit
 
-from nestlake.functions.textfeatures import MARKED_WORDS, MARKS, ONLY_PLAIN_MARKS, PLAIN_WORDS
+from nestlake.functions.textfeatures import FUNCTION_WORDS, LEAST_WORDS, MARKED_WORDS, MARKS, ONLY_PLAIN_MARKS, PLAIN_WORDS
 from nestlake.processors.base import Collector, Job, Malformed, Result, processor
 
 URI = re.compile(r"\b((?:https?|ftp)://[^\s<>\"'`{}|\\^\[\]]*[^\s<>\"'`{}|\\^\[\].,;:!?()])", re.I)
@@ -57,6 +57,13 @@ def _announced(first: str, second: str) -> bool:
     return False
 
 
+def natural_language(text: str) -> str | None:
+    """The same rule as in functions.textfeatures."""
+    words = re.split(r"[\W\d_]+", text.lower())
+    n = sorted(((sum(w in own for w in words), name) for name, own in FUNCTION_WORDS.items()), reverse=True)
+    return n[0][1] if n[0][0] >= LEAST_WORDS and n[0][0] > n[1][0] else None
+
+
 def luhn(digits: str) -> bool:
     d = [int(x) for x in reversed(digits)]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
@@ -109,7 +116,7 @@ def text(job: Job) -> Result:
     if "OCR" in job.symbols:
         for u in uris:
             out.add(u.encode(), {"url": u}, "URL")
-    meta = {"encoding": encoding, "programming_language": code, "number_of_characters": len(t), "number_of_digits": digits, "number_of_ascii_range_chars": sum(map(str.isascii, t)), "number_of_whitespaces": spaces,
+    meta = {"encoding": encoding, "programming_language": code, "natural_language": natural_language(t) if code is None else None, "number_of_characters": len(t), "number_of_digits": digits, "number_of_ascii_range_chars": sum(map(str.isascii, t)), "number_of_whitespaces": spaces,
             "number_of_newlines": t.count("\n"), "number_of_words": len(t.split()), "uris": uris, "possible_passwords": possible_passwords(t) if code is None else [], "unique_hosts": hosts, "unique_domains": domains}
     return Result(meta, symbols + out.symbols, out.children)
 
