@@ -11,6 +11,7 @@ import zipfile
 import zlib
 from datetime import UTC, datetime
 
+from nestlake.processors.aes import open_zip_entry
 from nestlake.processors.base import Collector, Job, Malformed, Reader, Result, processor
 
 
@@ -32,7 +33,26 @@ def unzip(job: Job) -> Result:
                 "compression_method": i.compress_type, "compressed_size": i.compress_size, "uncompressed_size": i.file_size}
         symbols: list[str] = []
         data = None
-        for pw in (None, *job.passwords) if not i.flag_bits & 1 else (*job.passwords, None):
+        aes = _aes(i)
+        if aes:
+            meta |= {"aes_strength": aes[0], "compression_method": aes[1]}
+            for pw in job.passwords:
+                try:
+                    packed = open_zip_entry(_raw(job.content, i), aes[0], pw.encode())
+                except (KeyError, struct.error, IndexError):
+                    symbols += ["CORRUPTED", "ZIP_BAD"]
+                    break
+                if packed is not None:
+                    try:
+                        data = _plain(packed, aes[1], out.cap())
+                    except (zlib.error, OSError, EOFError):
+                        symbols += ["CORRUPTED"]
+                    if data is None:
+                        symbols.append("ZIP_UNSUP")
+                    opened, meta["guessed_password"] = True, pw
+                    symbols.append("DECRYPTED")
+                    break
+        for pw in () if aes else (None, *job.passwords) if not i.flag_bits & 1 else (*job.passwords, None):
             try:
                 with z.open(i, pwd=pw.encode() if pw else None) as f:
                     data = f.read(out.cap())
@@ -59,6 +79,33 @@ def unzip(job: Job) -> Result:
     return got
 
 
+def _aes(i: zipfile.ZipInfo) -> tuple[int, int] | None:
+    """(strength, method of the packed bytes) of an entry under AES."""
+    at = 0
+    while i.compress_type == 99 and at + 4 <= len(i.extra):
+        kind, size = struct.unpack_from("<HH", i.extra, at)
+        if kind == 0x9901 and size >= 7:
+            _, _, strength, method = struct.unpack_from("<H2sBH", i.extra, at + 4)
+            return strength, method
+        at += 4 + size
+    return None
+
+
+def _raw(content: bytes, i: zipfile.ZipInfo) -> bytes:
+    name, extra = struct.unpack_from("<HH", content, i.header_offset + 26)
+    at = i.header_offset + 30 + name + extra
+    return content[at:at + i.compress_size]
+
+
+def _plain(packed: bytes, method: int, cap: int) -> bytes | None:
+    """None if the method is not one of stored, deflate and bzip2."""
+    if method == 0:
+        return packed[:cap]
+    if method == 8:
+        return zlib.decompressobj(-15).decompress(packed, cap)
+    return bz2.BZ2Decompressor().decompress(packed, cap) if method == 12 else None
+
+
 def _dos(t: tuple) -> float | None:
     try:
         return datetime(*t, tzinfo=UTC).timestamp()

@@ -7,6 +7,7 @@ import lzma
 import struct
 import zlib
 
+from nestlake.processors.aes import open_sevenzip
 from nestlake.processors.base import Collector, Job, Malformed, Reader, Result, filetime, processor
 
 # Property ids of the format.
@@ -116,9 +117,24 @@ class _Archive(Reader):
         return [[(s, f["crc"] if k else next(rest, None)) for s in own] for f, own, k in zip(folders, sizes, known, strict=True)]
 
 
-def _undo(folder: dict, packed: bytes, limit: int) -> bytes | None:
+def _opened(folder: dict, packed: bytes, limit: int, passwords: tuple[str, ...]) -> tuple[bytes | None, str | None]:
+    """(output, password): with encryption, of the first password whose output has the right checksum, or unpacks where
+    no checksum is given."""
+    if not any(c[0] == "aes" for c in folder["coders"]):
+        return _undo(folder, packed, limit, None), None
+    for pw in passwords:
+        try:
+            out = _undo(folder, packed, limit, pw)
+        except (lzma.LZMAError, zlib.error, OSError, EOFError, IndexError):
+            continue
+        if out is not None and len(out) >= min(limit, _Archive.size_of(folder)) and folder.get("crc") in (None, zlib.crc32(out)):
+            return out, pw
+    return None, None
+
+
+def _undo(folder: dict, packed: bytes, limit: int, password: str | None) -> bytes | None:
     """Output of a chain of coders; None if one of them cannot be undone here."""
-    if not folder["chain"] or any(c[0] in (None, "aes") for c in folder["coders"]):
+    if not folder["chain"] or any(c[0] is None or (c[0] == "aes" and password is None) for c in folder["coders"]):
         return None
     order, at = [], next(k for k in range(len(folder["coders"])) if k not in {i for i, _ in folder["pairs"]})
     take = {o: i for i, o in folder["pairs"]}
@@ -132,6 +148,10 @@ def _undo(folder: dict, packed: bytes, limit: int) -> bytes | None:
         name, props, _, _ = folder["coders"][k]
         size = min(folder["sizes"][k], limit)
         if name == "copy":
+            data = data[:size]
+            continue
+        if name == "aes":
+            data = open_sevenzip(data, props, password)[:folder["sizes"][k]]
             continue
         if name in ("deflate", "bzip2"):
             data = zlib.decompressobj(-15).decompress(data, size) if name == "deflate" else bz2.BZ2Decompressor().decompress(data, size)
@@ -195,7 +215,9 @@ def sevenzip(job: Job) -> Result:
     while header[:1] == bytes([ENCODED]):  # the header is packed as well
         inner = _Archive(header, at=1).streams()
         meta["encoded_header"] = True
-        plain = _undo(inner["folders"][0], _packed(job.content, inner, 0), job.limits.total_bytes)
+        plain, pw = _opened(inner["folders"][0], _packed(job.content, inner, 0), job.limits.total_bytes, job.passwords)
+        if pw is not None:
+            symbols, meta["guessed_password"] = ["ENCRYPTED", "DECRYPTED"], pw
         if plain is None:
             aes = any(c[0] == "aes" for c in inner["folders"][0]["coders"])
             return Result(meta, ["ENCRYPTED"] if aes else ["UNSUPPORTED"])
@@ -232,7 +254,10 @@ def sevenzip(job: Job) -> Result:
             aes = any(c[0] == "aes" for c in folders[n]["coders"])
             symbols += ["ENCRYPTED"] if aes else []
             try:
-                plain[n] = _undo(folders[n], _packed(job.content, s, n), job.limits.total_bytes + 1)
+                plain[n], pw = _opened(folders[n], _packed(job.content, s, n), job.limits.total_bytes + 1, job.passwords)
+                if pw is not None:
+                    symbols.append("DECRYPTED")
+                    meta["guessed_password"] = pw
             except (lzma.LZMAError, zlib.error, OSError, EOFError):
                 plain[n] = b""
                 symbols.append("CORRUPTED")
