@@ -117,9 +117,9 @@ class _Archive(Reader):
         return [[(s, f["crc"] if k else next(rest, None)) for s in own] for f, own, k in zip(folders, sizes, known, strict=True)]
 
 
-def _opened(folder: dict, packed: bytes, limit: int, passwords: tuple[str, ...]) -> tuple[bytes | None, str | None]:
-    """(output, password): with encryption, of the first password whose output has the right checksum, or unpacks where
-    no checksum is given."""
+def _opened(folder: dict, packed: bytes, limit: int, passwords: tuple[str, ...], parts: list | tuple = ()) -> tuple[bytes | None, str | None]:
+    """(output, password): with encryption, of the first password whose output has the right checksums, its own or those
+    of its parts, or unpacks where none is given."""
     if not any(c[0] == "aes" for c in folder["coders"]):
         return _undo(folder, packed, limit, None), None
     for pw in passwords:
@@ -127,11 +127,20 @@ def _opened(folder: dict, packed: bytes, limit: int, passwords: tuple[str, ...])
             out = _undo(folder, packed, limit, pw)
         except (lzma.LZMAError, zlib.error, OSError, EOFError, IndexError):
             continue
-        if out is not None and len(out) >= min(limit, _Archive.size_of(folder)) and folder.get("crc") in (None, zlib.crc32(out)):
+        if out is not None and len(out) >= min(limit, _Archive.size_of(folder)) and folder.get("crc") in (None, zlib.crc32(out)) and _checked(out, parts):
             return out, pw
     return None, None
 
 
+def _checked(out: bytes, parts: list | tuple) -> bool:
+    at = 0
+    for size, crc in parts:
+        if crc is not None and at + size <= len(out) and zlib.crc32(out[at:at + size]) != crc:
+            return False
+        at += size
+    return True
+
+
 def _undo(folder: dict, packed: bytes, limit: int, password: str | None) -> bytes | None:
     """Output of a chain of coders; None if one of them cannot be undone here."""
     if not folder["chain"] or any(c[0] is None or (c[0] == "aes" and password is None) for c in folder["coders"]):
@@ -254,7 +263,7 @@ def sevenzip(job: Job) -> Result:
             aes = any(c[0] == "aes" for c in folders[n]["coders"])
             symbols += ["ENCRYPTED"] if aes else []
             try:
-                plain[n], pw = _opened(folders[n], _packed(job.content, s, n), job.limits.total_bytes + 1, job.passwords)
+                plain[n], pw = _opened(folders[n], _packed(job.content, s, n), job.limits.total_bytes + 1, job.passwords, s["parts"][n])
                 if pw is not None:
                     symbols.append("DECRYPTED")
                     meta["guessed_password"] = pw
