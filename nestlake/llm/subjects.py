@@ -49,7 +49,7 @@ MIXED = 0.15
 #: From this probability on, a vote of the lexicon is a strong one, whose accuracy is learnt apart from the weak ones'.
 STRONG = 0.9
 #: Weight of the document's words beyond the paragraph, in the section function.
-FAR = 0.2
+FAR = 0.5
 
 WORD, HOST, SOURCE, ALL = range(4)
 _TOKENS = "key long, doc_id long, source long, lang string, words array<long>, sizes array<int>, paragraphs array<int>, hosts array<long>"
