@@ -227,11 +227,11 @@ def label_all(texts: list[str], p: Profiles, min_letters: int = MIN_LETTERS) ->
     """(row, para, lang, confidence) of all texts with enough letters: para -1, or one row for each paragraph of a mixed one."""
     rows = np.nonzero(letters(texts) >= max(min_letters, 1))[0]
     parts, doc = [], []
-    for k, t in zip(rows, charset.readable_all([texts[k] for k in rows]), strict=True):
-        own = paragraphs(t)
+    for k in rows:
+        own = paragraphs(texts[k])
         parts += own
         doc += [k] * len(own)
-    doc = np.array(doc, np.int64)
+    parts, doc = charset.readable_all(parts), np.array(doc, np.int64)  # one by one, so that a damaged paragraph of a long text is seen
     short = [clean(x) for x in parts]
     sizes = letters(short)
     for k in np.nonzero(sizes < MIN_LETTERS)[0]:  # little would remain
