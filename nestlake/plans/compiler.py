@@ -127,6 +127,28 @@ def conjuncts(c: object) -> list:
     return [c]
 
 
+def mentioned(x: object) -> set[str]:
+    """Names of the variables in a condition."""
+    if isinstance(x, A.Variable):
+        return {x.name}
+    if isinstance(x, (tuple, list)):
+        return {n for y in x for n in mentioned(y)}
+    return {n for f in getattr(x, "__dataclass_fields__", ()) for n in mentioned(getattr(x, f))}
+
+
+def shared(c: object, selectors: set[str]) -> tuple[object, str, list] | None:
+    """(test, selector, other conjuncts) if all that a condition asks of selectors is that a node holds a value of one."""
+    tests = [x for x in conjuncts(c) if mentioned(x) & selectors]
+    if len(tests) != 1:
+        return None
+    test, variable, inner = tests[0], None, ()
+    if isinstance(test, A.Among) and not test.negated:
+        variable, inner = test.values, test.left
+    if not isinstance(variable, A.Variable) or mentioned(inner) & selectors:
+        return None
+    return test, variable.name, [x for x in conjuncts(c) if x is not test]
+
+
 class Compiler:
     """Compiles conditions over one set of nodes. ``closure``: () -> DataFrame(anc, desc, depth), made when first needed."""
 
@@ -320,7 +342,7 @@ class Compiler:
             return df, J.any_of(J.unwrapped(found), lambda e: ~J.is_null(e))
         if m.kind == "selector":
             variable, negated = m.value
-            return self._lists_meet(df, F.transform(found, J.canonical), variable, negated, m.root == "relation")
+            return self._lists_meet(df, self._canonical(m), variable, negated, m.root == "relation")
         each = J.unwrapped(found)
         if m.kind == "text":
             return df, J.any_of(each, lambda e: self.text(m.value, J.text(e)))
@@ -337,6 +359,9 @@ class Compiler:
         out = J.any_of(each, test)
         return df, ~out if op == "!=" else out
 
+    def _canonical(self, m: A.MetaTest) -> Column:
+        return F.transform(F.coalesce(J.items(self._root(m.root), m.path.steps), F.array().cast("array<variant>")), J.canonical)
+
     def _item_test(self, x: object, root: Column, other: Callable, op: str = "==") -> Callable[[Column], Column]:
         """Test of one item against a constant, a text test, or the items of another path."""
         if isinstance(x, A.TextTest):
@@ -417,6 +442,14 @@ class Compiler:
         df = df.join(hit, on, "left")
         return df, F.col(n).isNull() if negated else F.col(n).isNotNull()
 
+    def held(self, test: object, rest: list) -> DataFrame:
+        """(keys, value): what the nodes for which all of ``rest`` holds have to show to a selector test."""
+        links = by_link(test)
+        df = self.select(A.Chain(tuple(rest), ("and",) * (len(rest) - 1)), links) if rest else self.base.rows(None, links)
+        df, left = self.value(df, test.left)
+        value = left.cast("string")
+        return df.select(*self.keys, value.alias("value")).where("value IS NOT NULL")
+
     def selector_values(self, s: A.Selector, local: str = "work_id") -> DataFrame:
         """(local, value) of a selector over these nodes; values as text, JSON values in canonical form."""
         links = s.get in ("get_names", "get_relation_meta")

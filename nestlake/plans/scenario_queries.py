@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nestlake.operators.ranking import window_sums
 from nestlake.plans.parser import parse_global
-from nestlake.plans.scenarios import Scenario, entries, evaluate, neighbour_counts, pairs
+from nestlake.plans.scenarios import Scenario, entries, evaluate, matched_pairs, neighbour_counts
 from nestlake.plans.search_queries import BASE, store
 from nestlake.runtime import table
 
@@ -32,7 +32,7 @@ def _selected(text: str):
         s = store(spark, d)
         e = entries(s)
         hit = e.join(s.search_works('@is_root() && object_type == "Email"'), "work_id", "left_semi")
-        return s.global_matches(parse_global(f"MATCHES:>0;TIME_WINDOW:3 days;{text}"), pairs(hit, e, _W, None))
+        return matched_pairs(s, parse_global(f"MATCHES:>0;TIME_WINDOW:3 days;{text}"), hit, e, _W)
     return run
 
 

@@ -14,6 +14,11 @@ Two plans give the counts:
  * with selectors and no max_neighbors the answer depends on every pair within the window, so all are formed, by an
    equi-join on time buckets with the exact distance as residual.
 
+``matched_pairs`` gives the pairs themselves. Where the global query asks no more of a selector than a value in common,
+no node is repeated for each local work: works meet by their values. Values that so many works hold that their pairs
+would outweigh the values themselves are bits of a work, and pairs within the window are tested on them as they are
+formed, each once and with nothing shuffled behind; by all other values pairs are found with an equi-join.
+
 Deviations from a one-by-one evaluation: true distances decide the order everywhere; ties are broken as above.
 """
 
@@ -33,6 +38,8 @@ from nestlake.plans.search import Store
 from nestlake.runtime import cut
 
 LANGUAGE_VERSION = (1, 3, 0)
+#: Most values that become bits of a work, and from which share of all value rows on the pairs of one value count as many.
+BITS, MANY = 256, 1 / 16
 
 
 @dataclass(frozen=True)
@@ -207,6 +214,55 @@ def pairs(hit: DataFrame, all_entries: DataFrame, window_us: int, max_neighbors:
     return p.select("local", "neighbour")
 
 
+def matched_pairs(store: Store, q: A.Query, hit: DataFrame, all_entries: DataFrame, window_us: int) -> DataFrame:
+    """(local, neighbour) within the window for which the global query matches the neighbour."""
+    all_entries, n = cut(all_entries, F.count(F.lit(1)).alias("rows"))
+    hit, m = cut(hit, F.count(F.lit(1)).alias("rows"))
+    values = store.shared_values(q, hit.select(F.col("work_id").alias("local")))
+    if values is None:
+        return store.global_matches(q, pairs(hit, all_entries, window_us, None))
+    a = hit.select(F.col("work_id").alias("local"), F.unix_micros("t").alias("at"))
+    b = all_entries.select(F.col("work_id").alias("neighbour"), F.unix_micros("t").alias("us"))
+    near = _bucketed(a, b, window_us, 1)
+    near = near[0].groupBy("bucket").count().join(near[1].groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").agg(F.sum(F.col("count").cast("double") * F.col("n"))).first()[0]
+    share = (near or 0.0) / max(m["rows"] * n["rows"], 1)  # of all pairs of works, those that may lie within the window
+    a, na = cut(values[0].join(a, "local").distinct(), F.count(F.lit(1)).alias("rows"))
+    b, nb = cut(values[1].join(a.select("value").distinct(), "value", "left_semi").join(b, "neighbour").distinct(), F.count(F.lit(1)).alias("rows"))
+    held = a.groupBy("value").agg(F.count(F.lit(1)).alias("l")).join(b.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value")
+    weight = F.col("l").cast("double") * F.col("n") * share
+    heavy = held.select("value", weight.alias("weight")).where(F.col("weight") >= MANY * (na["rows"] + nb["rows"])).orderBy(F.desc("weight"), "value").limit(BITS)
+    heavy, k = cut(heavy.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("bit")), F.count(F.lit(1)).alias("rows"))
+    words = range(-(-k["rows"] // 64))
+
+    def bits(x: DataFrame, who: str, at: str) -> DataFrame:
+        """Of each work, the heavy values that it holds."""
+        each = [F.when(F.col("bit").between(64 * j, 64 * j + 63), F.expr(f"shiftleft(1L, bit - {64 * j})")) for j in words]
+        return x.join(heavy, "value").groupBy(who, at).agg(*[F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(f"{who}{j}") for j, c in enumerate(each)])
+
+    if not words:
+        return _near(a, b, window_us, 1, "value").select("local", "neighbour").distinct()
+    own, other = bits(a, "local", "at"), bits(b, "neighbour", "us")
+    meet = F.lit(False)
+    for j in words:
+        meet = meet | (F.col(f"local{j}").bitwiseAND(F.col(f"neighbour{j}")) != 0)
+    light = lambda x, has, *by: x.join(heavy, "value", "left_anti").join(has, [*by], "left")
+    rest = _near(light(a, own, "local", "at"), light(b, other, "neighbour", "us"), window_us, 1, "value").where(~F.coalesce(meet, F.lit(False)))
+    return _near(own, other, window_us, 4).where(meet).select("local", "neighbour").unionByName(rest.select("local", "neighbour").distinct())
+
+
+def _bucketed(a: DataFrame, b: DataFrame, window_us: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both with time buckets of a part of the window; a stands in all those that the window around it may reach."""
+    w = max(-(-window_us // parts), 1)
+    home = F.floor(F.col("at") / w)
+    return a.select("*", F.explode(F.sequence(home - parts, home + parts)).alias("bucket")), b.withColumn("bucket", F.floor(F.col("us") / w))
+
+
+def _near(a: DataFrame, b: DataFrame, window_us: int, parts: int, *by: str) -> DataFrame:
+    """a(local, at, ...) and b(neighbour, us, ...) of another work within the window, equal in ``by``."""
+    a, b = _bucketed(a, b, window_us, parts)
+    return a.join(b, ["bucket", *by]).where((F.abs(F.col("us") - F.col("at")) <= window_us) & (F.col("local") != F.col("neighbour")))
+
+
 def _nearest(hit: DataFrame, all_entries: DataFrame, window_us: int, k: int) -> DataFrame:
     """Candidates are the k entries on either side; among entries of one moment the smaller id is the nearer one, so each
     side has its own numbering."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nestlake.operators import hierarchy
 from nestlake.plans import ast as A
-from nestlake.plans.compiler import Compiler, Nodes
+from nestlake.plans.compiler import Compiler, Nodes, shared
 from nestlake.plans.parser import parse, parse_global
 
 DEFAULT_LIMIT = 1000
@@ -61,6 +61,16 @@ class Store:
         c = self.compiler(q, base=base)
         return {n: c.selector_values(v, "local") for n, v in q.variables.items() if isinstance(v, A.Selector)}
 
+    def shared_values(self, q: A.Query, locals_: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(local, value) and (neighbour, value): the global query matches just the pairs that have a value in common. None
+        where it asks for something else."""
+        found = shared(q.body, {n for n, v in q.variables.items() if isinstance(v, A.Selector)})
+        if found is None:
+            return None
+        test, name, rest = found
+        own = self.selectors(q, locals_)[name].where("value IS NOT NULL")
+        return own, self.compiler(q).held(test, rest).select(F.col("work_id").alias("neighbour"), "value")
+
     def global_matches(self, q: A.Query | str, pairs: DataFrame) -> DataFrame:
         """pairs(local, neighbour) -> those for which the neighbour has a node that the global query selects."""
         q = parse_global(q) if isinstance(q, str) else q
