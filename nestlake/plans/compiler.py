@@ -144,6 +144,8 @@ def shared(c: object, selectors: set[str]) -> tuple[object, str, list] | None:
     test, variable, inner = tests[0], None, ()
     if isinstance(test, A.Among) and not test.negated:
         variable, inner = test.values, test.left
+    elif isinstance(test, A.MetaTest) and test.root == "object" and test.kind == "selector" and not test.value[1]:
+        variable = test.value[0]
     if not isinstance(variable, A.Variable) or mentioned(inner) & selectors:
         return None
     return test, variable.name, [x for x in conjuncts(c) if x is not test]
@@ -446,8 +448,11 @@ class Compiler:
         """(keys, value): what the nodes for which all of ``rest`` holds have to show to a selector test."""
         links = by_link(test)
         df = self.select(A.Chain(tuple(rest), ("and",) * (len(rest) - 1)), links) if rest else self.base.rows(None, links)
-        df, left = self.value(df, test.left)
-        value = left.cast("string")
+        if isinstance(test, A.Among):
+            df, left = self.value(df, test.left)
+            value = left.cast("string")
+        else:
+            value = F.explode(self._canonical(test))
         return df.select(*self.keys, value.alias("value")).where("value IS NOT NULL")
 
     def selector_values(self, s: A.Selector, local: str = "work_id") -> DataFrame:
