@@ -144,7 +144,7 @@ def shared(c: object, selectors: set[str]) -> tuple[object, str, list] | None:
     test, variable, inner = tests[0], None, ()
     if isinstance(test, A.Among) and not test.negated:
         variable, inner = test.values, test.left
-    elif isinstance(test, A.Call) and test.name == "has_symbol" and test.args[0].kind == "selector" and not test.args[0].negated:
+    elif isinstance(test, A.Call) and test.name in ("has_symbol", "has_name") and test.args[0].kind == "selector" and not test.args[0].negated:
         variable = test.args[0].value
     elif isinstance(test, A.MetaTest) and test.root == "object" and test.kind == "selector" and not test.value[1]:
         variable = test.value[0]
@@ -454,7 +454,7 @@ class Compiler:
             df, left = self.value(df, test.left)
             value = left.cast("string")
         elif isinstance(test, A.Call):
-            value = F.explode(symbols())
+            value = F.explode(symbols() if test.name == "has_symbol" else names())
         else:
             value = F.explode(self._canonical(test))
         return df.select(*self.keys, value.alias("value")).where("value IS NOT NULL")

@@ -18,6 +18,7 @@ TEXTS = {
     "selector_column": "${x}=LOCAL.filter(not is_entry).size; size in ${x} && size > 0",
     "selector_object_meta": "${x}=LOCAL.get_object_meta($_perf); @match_object_meta($_perf in ${x})",
     "selector_symbols": "${x}=LOCAL.get_symbols(); @has_symbol(in ${x})",
+    "selector_names": "${x}=LOCAL.get_names(); @has_name(in ${x})",
 }
 D = "/root/testdata/sf0.01"
 
