@@ -146,7 +146,7 @@ def shared(c: object, selectors: set[str]) -> tuple[object, str, list] | None:
         variable, inner = test.values, test.left
     elif isinstance(test, A.Call) and test.name in ("has_symbol", "has_name") and test.args[0].kind == "selector" and not test.args[0].negated:
         variable = test.args[0].value
-    elif isinstance(test, A.MetaTest) and test.root == "object" and test.kind == "selector" and not test.value[1]:
+    elif isinstance(test, A.MetaTest) and test.kind == "selector" and not test.value[1]:
         variable = test.value[0]
     if not isinstance(variable, A.Variable) or mentioned(inner) & selectors:
         return None

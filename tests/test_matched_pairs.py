@@ -19,6 +19,7 @@ TEXTS = {
     "selector_object_meta": "${x}=LOCAL.get_object_meta($_perf); @match_object_meta($_perf in ${x})",
     "selector_symbols": "${x}=LOCAL.get_symbols(); @has_symbol(in ${x})",
     "selector_names": "${x}=LOCAL.get_names(); @has_name(in ${x})",
+    "selector_relation_meta": "${x}=LOCAL.get_relation_meta($index); @match_relation_meta($index in ${x})",
 }
 D = "/root/testdata/sf0.01"
 
