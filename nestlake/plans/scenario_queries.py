@@ -28,7 +28,7 @@ def scenario_local(spark: SparkSession, d: str) -> DataFrame:
 
 def _selected(text: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        """Pairs of a work with an executable at the root and its neighbours of three days that share a value."""
+        """Pairs of a work with a mail at the root and its neighbours of three days that share a value."""
         s = store(spark, d)
         e = entries(s)
         hit = e.join(s.search_works('@is_root() && object_type == "Email"'), "work_id", "left_semi")

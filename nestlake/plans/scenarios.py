@@ -140,8 +140,8 @@ def validate(s: Scenario) -> list[str]:
 
 
 def entries(store: Store) -> DataFrame:
-    """(work_id, id, t): the first entry of each work."""
-    e = store.source.rows(F.col("is_entry"), False).groupBy("work_id").agg(F.min(F.struct("t", "id")).alias("e"))
+    """(work_id, id, t): the first entry of each work; one without a time only where no entry has one."""
+    e = store.source.rows(F.col("is_entry"), False).groupBy("work_id").agg(F.min(F.struct(F.col("t").isNull().alias("unknown"), "t", "id")).alias("e"))
     return e.select("work_id", "e.id", F.col("e.t").cast("timestamp").alias("t"))
 
 

@@ -77,3 +77,11 @@ def test_what_asks_for_more_is_left_to_pairs(spark):
     e = entries(s)
     got = {tuple(r) for r in matched_pairs(s, parse_global(HEAD + "${x}=LOCAL.get_symbols(); @has_symbol(not in ${x})"), e, e, _W).collect()}
     assert got == {("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")}
+
+
+def test_entry_without_time_does_not_hide_its_work(spark):
+    t = datetime(2024, 1, 1)
+    s = made(spark, [("a", None, True, ["p"]), ("a", t, True, ["p"]), ("b", t, True, ["p"]), ("c", None, True, ["p"])])
+    e = entries(s)
+    got = {tuple(r) for r in matched_pairs(s, parse_global(HEAD + TEXTS["selector_symbols"]), e, e, _W).collect()}
+    assert got == {("a", "b"), ("b", "a")}
